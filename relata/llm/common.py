@@ -47,7 +47,13 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what was written needs no shuffle files
+    old = spark.conf.get(flag, "false")
+    spark.conf.set(flag, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(flag, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
