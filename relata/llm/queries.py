@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm import bpe, line_dedup, media, mixing, ngram_join, token_files, topk, toxicity
+from relata.llm import bpe, line_dedup, media, mixing, ngram_join, pii, secrets, token_files, topk, toxicity
 from relata.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store_payloads(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
@@ -47,6 +51,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir, "doc_id", "text", "source"), source_col="source")
+    return found.select("doc_id", "line", "start", "end", F.sha2("secret", 256).alias("secret_sha256"), "probability")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -62,10 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_files": op2_token_files,
     "op3_media_columns": op3_media_columns,
+    "op4_pii": op4_pii,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_mix_sources": op6_mix_sources,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
