@@ -155,22 +155,26 @@ def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = D
     return forest
 
 
-def _case(tree: tuple) -> str:
+def _vote(tree: tuple, features: Column) -> Column:
     if len(tree) == 1:
-        return f"{tree[0]:.6f}D"
+        return F.lit(tree[0])
     f, cut, low, high = tree
-    return f"CASE WHEN {FEATURES[f]} <= {cut!r}D THEN {_case(low)} ELSE {_case(high)} END"
+    return F.when(features[FEATURES[f]] <= cut, _vote(low, features)).otherwise(_vote(high, features))
 
 
-def forest_sql(forest: list[tuple]) -> str:
-    return "(" + " + ".join(_case(t) for t in forest) + f") / {len(forest)}D"
+def probability(forest: list[tuple], features: Column) -> Column:
+    """The trees' mean vote, as nested CASE expressions over a struct of features."""
+    total = _vote(forest[0], features)
+    for tree in forest[1:]:
+        total = total + _vote(tree, features)
+    return total / len(forest)
 
 
-_FORESTS: dict[str, str] = {}
+_FORESTS: dict[str, list[tuple]] = {}
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, int]] | None = None) -> str:
-    """The forest's SQL expression over FEATURES, from labelled findings (line, source, label)."""
+def train(spark: SparkSession, findings: list[tuple[str, str, int]] | None = None) -> list[tuple]:
+    """A forest over FEATURES from labelled findings (line, source, label)."""
     own = findings is None
     if own and "" in _FORESTS:
         return _FORESTS[""]
@@ -183,10 +187,10 @@ def train(spark: SparkSession, findings: list[tuple[str, str, int]] | None = Non
         longest[row.doc_id] = row
     x = np.array([[float(row[f]) for f in FEATURES] for row in longest.values()])
     y = np.array([row.label for row in longest.values()], dtype=float)
-    sql = forest_sql(grow_forest(x, y))
+    forest = grow_forest(x, y)
     if own:
-        _FORESTS[""] = sql
-    return sql
+        _FORESTS[""] = forest
+    return forest
 
 
 @lru_cache(maxsize=1)
@@ -194,8 +198,11 @@ def _examples() -> tuple:
     return tuple(example_findings())
 
 
-def scan(docs: DataFrame, forest: str | None = None, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, forest: list[tuple] | None = None, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:
     """A row a finding: doc_id, line, start, end, secret, probability. A map over lines, no shuffle."""
     forest = forest or train(docs.sparkSession)
-    found = with_features(candidates(docs, id_col=id_col, text_col=text_col, source_col=source_col))
-    return found.withColumn("probability", F.expr(forest)).where(F.col("probability") >= threshold).select("doc_id", "line", "start", "end", F.col("candidate").alias("secret"), "probability")
+    found = candidates(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    features = _features(F.col("candidate"), F.col("left"), F.col("right"), F.col("source"))
+    # A lambda's argument is computed once, where a projection would be copied into every node of the trees.
+    votes = F.transform(F.array(F.struct(*(c.alias(n) for n, c in features.items()))), lambda f: probability(forest, f))
+    return found.select("doc_id", "line", "start", "end", F.col("candidate").alias("secret"), F.explode(F.filter(votes, lambda p: p >= threshold)).alias("probability"))
