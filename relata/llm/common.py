@@ -65,21 +65,28 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) pairs of longs: rows (node, root), root the least node.
 
-    Every round each node takes the least label among its own and its neighbours', then jumps to
-    its label's label, so long chains shrink by a factor each round. Messages are combined
-    map-side by min(), which keeps nodes of very high degree cheap. Tables between rounds are
+    Every round each node hooks on to its least neighbour (min() is combined map-side, so nodes of
+    very high degree are cheap), follows its parent's parent twice, and the graph shrinks to the
+    edges between what is left; a round leaves a fraction of the nodes. Tables between rounds are
     written to the shared folder. Rows with a null end are ignored; no edges give no rows.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = settle(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    live = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    live = settle(live.distinct(), "edges")
+    labels = None
     for _ in range(max_rounds):
-        heard = both.join(labels, both.a == labels.node).groupBy(both.b.alias("node")).agg(F.min("root").alias("m"))
-        near = labels.join(heard, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
-        hop = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = settle(near.join(hop, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        changed = new.where("old <> root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
+        ends = live.union(live.select("b", "a"))
+        parent = settle(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "parents")
+        up = parent.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+        for _ in range(2):
+            parent = parent.join(up, parent.up == up._n).select("node", F.col("_u").alias("up"))
+        parent = settle(parent, "parents")
+        if labels is None:
+            labels = parent.select("node", F.col("up").alias("root"))
+        else:
+            labels = settle(labels.join(parent, labels.root == parent.node, "left").select(labels.node, F.coalesce("up", "root").alias("root")), "labels")
+        a, b = parent.select(F.col("node").alias("a"), F.col("up").alias("ra")), parent.select(F.col("node").alias("b"), F.col("up").alias("rb"))
+        moved = live.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        live = settle(moved.distinct(), "edges")
+        if live.isEmpty():
             return labels
     raise RuntimeError("connected components did not settle")
