@@ -2,7 +2,7 @@
 
 1. Texts are brought to lower case with single blanks; equal ones are copies and stand for one text
    (node) from here on, so copies are never paired.
-2. MinHash banding finds candidates: 31 bands of 6 rows find a pair at the threshold with
+2. MinHash banding finds candidates: 51 bands of 8 rows find a pair at the threshold with
    probability 0.9999. Only (band key, node) rows are shuffled. min() and max() over a key tell which
    keys several texts share, so no pairs are made; such keys give star edges, whose connected
    components hold every candidate pair.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from relata.llm.common import components, prepare, settle
 from relata.llm.hashing import MinHash, bands_and_rows, normal, shingles, text_key
 
-ROWS, RECALL = 6, 0.9999
+ROWS, RECALL = 8, 0.9999
 BLOCK, LARGE = 256, 4096
 
 
