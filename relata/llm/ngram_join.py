@@ -114,9 +114,10 @@ def similar(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
 
     signed = settle(slim.mapInArrow(sign, f"doc_id {kind}, node long, keys array<long>"), "signed")
     nodes = settle(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
+    # Both joins below are with tables that grow with the corpus: merged at every size, never broadcast.
     keyed = signed.select("node", F.explode("keys").alias("key"))
     shared = settle(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "a"), "keys")
-    members = settle(keyed.join(shared, "key").select("key", "a", "node").distinct(), "members")
+    members = settle(keyed.join(shared.hint("merge"), "key").select("key", "a", "node").distinct(), "members")
     roots = components(members.select("a", F.col("node").alias("b")).where("a <> b").distinct())
     sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("m")), "root")
     whole = sized.where(F.col("m") <= large).select(F.col("root").alias("unit"), F.lit(None).cast("long").alias("key"), "node", "m")
@@ -135,7 +136,7 @@ def similar(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
             sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), pa.array(sets, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "grams", "bands"])
 
-    texts = slim.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    texts = slim.join(wanted.select(F.col("doc_id").alias("_id")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = texts.mapInArrow(grams, "node long, grams binary, bands binary")
     parts = F.ceil(F.col("m") / block).cast("int")
     placed = units.select("unit", "key", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("partner"))
