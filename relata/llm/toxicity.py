@@ -15,7 +15,6 @@ repeated rows get equal scores; extra columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -104,24 +103,40 @@ def fit(texts: list[str], labels: list[int], *, max_words: int = MAX_WORDS, roun
     y = np.array(labels, dtype=np.float64)
     if not 0 < y.sum() < len(y):
         return Model()
-    sentences, starts = bags(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    held = [set(m for w in s for m in marks(w)) for s in sentences]
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for label, a, b in zip(labels, starts[:-1], starts[1:], strict=True):
-        seen[int(label > 0)].update(set().union(*held[a:b]))
-    toxic, clean, chosen = y.sum(), len(y) - y.sum(), []
-    for mark, a in seen[1].items():
-        b = seen[0][mark]
-        share = (a + b) / len(y)
-        z = (a / toxic - b / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
-        if a >= 3 and z >= 4:
-            chosen.append((-z, mark))
-    vocabulary = {mark: i for i, (_, mark) in enumerate(sorted(chosen)[:max_words])}
-    index = [[vocabulary[m] for m in s if m in vocabulary] for s in held]
-    at = np.repeat(np.arange(len(index)), [len(i) for i in index])
-    mark = np.array([i for own in index for i in own], dtype=np.int64)
-    n, m = len(vocabulary), len(sentences)
+    # words and marks as numbers from here on: a sample's strings are held once
+    words: dict[str, int] = {}
+    names: dict[str, int] = {}
+    marks_of: list[list[int]] = []
+    own_words, own_sizes, counts = [], [], []
+    for text in texts:
+        sentences, _ = bags([text])
+        for s in sentences:
+            for w in s:
+                if w not in words:
+                    words[w] = len(words)
+                    marks_of.append([names.setdefault(m, len(names)) for m in marks(w)])
+        own_words.append(np.array([words[w] for s in sentences for w in s], dtype=np.int32))
+        own_sizes.append(np.array([len(s) for s in sentences], dtype=np.int32))
+        counts.append(len(sentences))
+    table = np.full((len(words), 4), len(names), dtype=np.int32)
+    for i, own in enumerate(marks_of):
+        table[i, : len(own)] = own
+    seen = np.zeros((2, len(names) + 1))
+    for label, own in zip(labels, own_words, strict=True):
+        seen[int(label > 0), np.unique(table[np.unique(own)])] += 1
+    a, b, toxic, clean = seen[1, :-1], seen[0, :-1], y.sum(), len(y) - y.sum()
+    share = (a + b) / len(y)
+    z = (a / toxic - b / clean) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
+    chosen = np.flatnonzero((a >= 3) & (z >= 4))
+    listed = list(names)
+    chosen = np.array(sorted(chosen.tolist(), key=lambda i: (-z[i], listed[i]))[:max_words], dtype=np.int64)
+    number = np.full(len(names) + 1, -1, dtype=np.int64)
+    number[chosen] = np.arange(len(chosen))
+    vocabulary = [listed[i] for i in chosen]
+    owner, sizes = np.repeat(np.arange(len(texts)), counts), np.concatenate(own_sizes)
+    held = number[table[np.concatenate(own_words)]]
+    at, mark = np.divmod(np.unique((np.repeat(np.arange(len(sizes)), sizes)[:, None] * max(1, len(chosen)) + held)[held >= 0]), max(1, len(chosen)))
+    n, m = len(vocabulary), len(sizes)
     w, bias = np.zeros(n), -np.log(m / max(1.0, y.sum()))
     first, second, b1, b2 = np.zeros(n + 1), np.zeros(n + 1), 0.9, 0.99
     for step in range(1, rounds + 1):
@@ -133,8 +148,7 @@ def fit(texts: list[str], labels: list[int], *, max_words: int = MAX_WORDS, roun
         first, second = b1 * first + (1 - b1) * grad, b2 * second + (1 - b2) * grad * grad
         move = rate * first / (1 - b1**step) / (np.sqrt(second / (1 - b2**step)) + 1e-7)
         bias, w = bias - move[-1], w - move[:-1]
-    names = list(vocabulary)
-    return Model(float(bias), {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
+    return Model(float(bias), {vocabulary[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
