@@ -54,6 +54,9 @@ class RunPlace(Place):
         running = lambda a: a.over(self.running)
         if fold.op == "-":
             return -running(F.sum(c))
+        if fold.op == "+":
+            total = running(F.sum(c))
+            return total.cast(T.DecimalType(38, t.scale)) if isinstance(t, T.DecimalType) else total
         if fold.op == "xor":
             return running(F.sum(c.cast("int"))) % 2 == 1
         if fold.op == "&":

@@ -140,7 +140,7 @@ class Relation:
 
     def lift(self, expr: object) -> object:
         """A scalar: the expression's first value, or its type's default if there is none."""
-        one = self.select(star=False, _lifted=expr) if not isinstance(expr, str) else self.select(_lifted=expr)
+        one = self.select(_lifted=expr)
         row = one.df.limit(1).collect() if not self.sorting else one.df.take(1)
         return row[0][0] if row else default_value(one.df.schema[0].dataType)
 
@@ -149,6 +149,10 @@ class Relation:
 
         With star, all attributes stay but those named; without it, those named are what stays.
         """
+        return self.transform(names, star, new)
+
+    def transform(self, names: Iterable[str], star: bool, new: dict[str, object]) -> Relation:
+        """select() for names that Python's keywords can't hold."""
         for n in names:
             self._field(n)
         renames = {k: v for k, v in new.items() if isinstance(v, str)}
@@ -296,11 +300,11 @@ class Relation:
 
     def intersect(self, other: Relation) -> Relation:
         a, b = self._both(other)
-        return Relation(a.df.intersect(b.df), a.keys | b.keys)
+        return Relation(a.df.intersect(b.df), a.keys | b.keys) if a.columns else a.semijoin(b)
 
     def minus(self, other: Relation) -> Relation:
         a, b = self._both(other)
-        return Relation(a.df.subtract(b.df), a.keys)
+        return Relation(a.df.subtract(b.df), a.keys) if a.columns else a.ajoin(b)
 
     def rminus(self, other: Relation) -> Relation:
         return other.minus(self)
@@ -309,7 +313,7 @@ class Relation:
         """One pass: after the union of both sets, tuples that came from one side only."""
         a, b = self._both(other)
         if not a.columns:
-            return Relation(a.df.subtract(b.df).union(b.df.subtract(a.df)))
+            return Relation(a.ajoin(b).df.union(b.ajoin(a).df))
         tagged = a.df.withColumn("_side", F.lit(1)).unionByName(b.df.withColumn("_side", F.lit(2)))
         return Relation(tagged.groupBy(*map(_col, a.columns)).agg(F.sum("_side").alias("_side")).where("_side < 3").drop("_side"))
 
