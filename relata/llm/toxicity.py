@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +61,16 @@ class Model:
         return {"bias": self.bias, "weights": self.weights, "memory": {}}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
         get = self.weights.get
         for w in words:
             self.memory[w] = sum([get(m, 0.0) for m in marks(w)])
 
     def logits(self, sentences: list[set[str]]) -> np.ndarray:
         """Log odds of each sentence: the bias and the weights of its words."""
-        memory = self.memory
-        words = set().union(*sentences)
-        if fresh := words - memory.keys():
-            self._learn(fresh)
-            if fresh != words:
-                self._learn(words - memory.keys())
-        get = memory.__getitem__
+        if len(self.memory) > MEMORY:
+            self.memory.clear()
+        self._learn(set(filterfalse(self.memory.__contains__, chain.from_iterable(sentences))))
+        get = self.memory.__getitem__
         return self.bias + np.array([sum(map(get, s)) for s in sentences], dtype=np.float64)
 
     def scores(self, texts: list[str]) -> np.ndarray:
