@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relata.llm.common import prepare, settle
+from relata.llm.common import prepare, settle, unused
 from relata.llm.hashing import BASE, POINT, Ranges, U, mix, points
 
 MIN_CHARS = 20
@@ -149,15 +149,16 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str =
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines gone, and columns n_lines and n_dropped after its own."""
+    """docs with the lines gone, and columns n_lines and n_dropped after its own (in place of such ones that it has)."""
     gone = dropped_lines(docs, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    drops = settle(gone.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("line").alias("_drop")), "drops")
-    parts = F.split(F.col(text_col), "\n", -1)
-    tagged = docs.withColumn("_own", F.xxhash64(text_col))
-    both = tagged.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    columns = {c: docs[c] for c in docs.columns} | {text_col: text.alias(text_col)}
+    i, t, d, own = unused(docs, "_id", "_tag", "_drop", "_own")
+    drops = settle(gone.groupBy(F.col("doc_id").alias(i), F.col("tag").alias(t)).agg(F.collect_list("line").alias(d)), "drops")
+    parts, drop = F.split(docs[text_col], "\n", -1), F.col(d)
+    tagged = docs.withColumn(own, F.xxhash64(docs[text_col]))
+    both = tagged.join(drops, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(t)), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
+    text = F.when(drop.isNull(), docs[text_col]).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
+    columns = {c: docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")} | {text_col: text.alias(text_col)}
     if "n_chars" in columns and text_col != "n_chars":
-        columns["n_chars"] = F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return both.select(*columns.values(), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"))
+        columns["n_chars"] = F.when(drop.isNull(), docs["n_chars"]).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return both.select(*columns.values(), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).alias("n_dropped"))

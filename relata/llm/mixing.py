@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relata.llm.common import settle
+from relata.llm.common import settle, unused
 
 #: Fixed value: a word is a run of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,5 +84,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Joined by id: rows that share an id must not differ in size and source.
     """
     id_col = options.get("id_col", "doc_id")
-    n = copies(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    return docs.join(n, docs[id_col].eqNullSafe(n._id)).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    i, c, copy = unused(docs, "_id", "_copies", "_copy")
+    n = copies(docs, **options).groupBy("doc_id").agg(F.min("copies").alias(c)).withColumnRenamed("doc_id", i)
+    taken = docs.join(n, docs[id_col].eqNullSafe(n[i])).where(n[c] > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*[docs[x] for x in docs.columns])

@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, id_co
     """Fit on labelled documents that are not held out. The sample is bounded, so its broadcast is too."""
     sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(max_docs)
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("_id")).select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = slim.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("id", "text", F.col("_toxic").alias("toxic"))
     # rows that repeat an id must not make the sample grow
     got = sorted(rows.limit(2 * max_docs).collect(), key=lambda r: (r.id, r.text, r.toxic))
     return fit([r.text for r in got], [r.toxic for r in got])

@@ -1,0 +1,503 @@
+"""Each operator against brute force on small tables with the cases that break things."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from relata.llm import bpe, common, line_dedup, media, mixing, ngram_join, pii, secrets, token_files, topk, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Extra columns whose names the operators use inside.
+EXTRA = ("node", "key", "keys", "h", "line", "tag", "_id", "_tag", "_drop", "_own", "_copies", "_copy", "_gone", "id", "rank", "bin", "size", "tie", "u")
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeéñ") for _ in range(r.randint(1, 8))) for _ in range(300)]
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, "\n".join(sentence(r.randint(3, 40)) for _ in range(r.randint(1, 4))), "en", f"src{i % 5}", 7) for i in range(80)]
+    base = sentence(120)
+    rows += [(100 + k, base if k % 3 == 0 else base.replace(base.split()[k], f"changed{k}", 1), "en", "hot", 1) for k in range(12)]
+    rows += [(200, None, None, None, None), (201, "", "", "src1", 0), (202, " \n\t ", "xx", None, 3), (203, "a" * 20000, "en", "src2", 1), (None, "a null id has a text of its own here", "en", "src3", 2)]
+    rows += [(204, sentence(9000), "en", "src4", 1), (205, "  Mixed CASE, a text   with odd blanks ’ “ \U0001f600 ", "en", "src1", 3), rows[5]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(corpus, SCHEMA)
+    return df.select("*", *(F.lit("x").alias(c) for c in EXTRA)).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 1 ---
+
+
+def links_by_hand(texts, threshold=0.8, n=5):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    out = defaultdict(set)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and len(a & b) >= threshold * len(a | b) - 1e-9:
+                out[i].add(j)
+                out[j].add(i)
+    return out
+
+
+def classes_by_hand(corpus):
+    by = defaultdict(list)
+    for d, t, *_ in corpus:
+        by[" ".join((t or "").lower().split())].append(d)
+    texts = list(by)
+    links = links_by_hand(texts)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in links.items():
+        for j in own:
+            root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, t in enumerate(texts):
+        least[find(i)] += [d for d in by[t] if d is not None]
+    return {d: (min(least[find(i)], default=None), len(links[i]), len(by[t])) for i, t in enumerate(texts) for d in by[t]}
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 3}, {"block": 3, "large": 2}])
+def test_ngram_join_finds_all_links(docs, corpus, options):
+    want = classes_by_hand(corpus)
+    got = ngram_join.similar(docs, **options).collect()
+    assert len(got) == len(corpus)
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in got} == want
+    assert max(n for _, n, _ in want.values()) >= 3
+
+
+def test_ngram_join_keeps_one_of_each_class(docs, corpus):
+    want = {d for d, (c, *_) in classes_by_hand(corpus).items() if d == c or d is None}
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(60)] + [(500, i) for i in range(501, 560)] + [(r.randint(1000, 1100), r.randint(1000, 1100)) for _ in range(60)] + [(7, 7), (None, 3)]
+    labels = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            ra, rb = find(a), find(b)
+            root[max(ra, rb)] = min(ra, rb)
+    assert labels == {x: find(x) for x in list(root) if x in labels} and len(labels) == len([x for x in root if any(x in e and e[0] != e[1] and None not in e for e in edges)])
+
+
+def test_empty_tables(spark, empty):
+    assert ngram_join.similar(empty).count() == 0
+    assert ngram_join.keep_one(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.copies(empty).count() == 0
+    assert pii.find(empty, pii.Tagger()).count() == 0
+    assert bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert media.features(media.store_payloads(empty)).count() == 0
+    assert token_files.token_records(spark, empty, WORDS).count() == 0
+    assert secrets.scan(empty, source_col="source").count() == 0
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    model = toxicity.train(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(empty, model).count() == 0 and toxicity.drop_toxic(empty, model).count() == 0
+
+
+# --- 2 ---
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def test_token_files_hold_all_ids_in_order(spark, docs, corpus):
+    t = Tokenizer.from_file(WORDS)
+    manifest = token_files.write_token_files(docs, WORDS)
+    got = token_files.read_token_files(manifest).collect()
+    assert len(got) == len(corpus)
+    want, at = [], 0
+    order = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0))
+    for d, text, *_ in order:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
+    index = token_files.read_index(manifest)
+    shuffled = token_files.read_at(index.orderBy("offset")).collect()
+    assert sorted(sum(len(r.ids) for r in shuffled) for _ in [0]) == [at] and len(shuffled) == len(corpus)
+
+
+def test_a_damaged_record_is_refused():
+    import io
+
+    record = bytearray(token_files.frame(b"some data"))
+    assert token_files.read_frame(io.BytesIO(bytes(record))) == b"some data"
+    for place in (0, 9, 14, len(record) - 1):
+        bad = bytearray(record)
+        bad[place] ^= 1
+        with pytest.raises(ValueError):
+            token_files.read_frame(io.BytesIO(bytes(bad)))
+    assert token_files.read_frame(io.BytesIO(b"")) is None
+
+
+def test_word_pieces_equal_the_whole_text():
+    own = token_files.WordTokenizer(WORDS)
+    r = random.Random(8)
+    alphabet = "ab '\n\t 　s'tre1 9éÉÀß\x85\xa0\x1c\x7f«ªµ²<|.!_,;x​İΣσé<|endoftext|>"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 50))) for _ in range(2000)] + ["<|endoftext|> a", "ΣΑΣ.", "J̌", ""]
+    for text, got in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(got, own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+# --- 3 ---
+
+
+def test_media_payloads_come_back(docs, corpus):
+    got = {(r.doc_id, r.payload_sha256): r for r in media.features(media.store_payloads(docs)).collect()}
+    for d, text, *_ in corpus:
+        data = (text or "").encode()
+        payload = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
+        r = got[d, hashlib.sha256(payload).hexdigest()]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
+        assert "image/png" in r.feature and r.media_bytes > 64
+
+
+def _samples():
+    png = media.to_png(media.pad(b"abc" * 50))
+    wav = b"RIFF" + (36 + 8).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\1\0\1\0" + b"\0" * 12 + b"data" + (8).to_bytes(4, "little") + b"\x80" * 8
+    gif = b"GIF89a\1\0\1\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    import gzip
+    import io
+    import zipfile
+
+    packed = gzip.compress(b"hello " * 40)
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "data" * 10)
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    jpeg = b"\xff\xd8\xff\xe0\0\4\0\0\xff\xda\0\3\1abc\xff\0def\xff\xd9"
+    bmp = b"BM" + (58).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + bytes(8) + b"\1\0\x18\0" + bytes(28)
+    return {"image/png": png, "audio/wav": wav, "image/gif": gif, "application/gzip": packed, "application/zip": box.getvalue(), "application/pdf": pdf, "image/jpeg": jpeg, "image/bmp": bmp}
+
+
+def test_sniffing_corrects_types_and_carves(spark):
+    samples = _samples()
+    for kind, data in samples.items():
+        assert media.media_in(data) == [(0, len(data), kind)], kind
+        assert media.media_in(data[:-3]) == [], kind  # cut off
+        assert media.media_in(b"noise" + data + b"more") == [(5, 5 + len(data), kind)], kind
+    both = samples["image/png"] + b"--" + samples["audio/wav"]
+    rows = [(1, "image/jpeg", bytearray(both)), (2, "text/plain", bytearray(b"GIF89a is a name, RIFF too, BM")), (3, None, None)]
+    got = {r.id: r for r in media.sniff(spark.createDataFrame(rows, "k long, declared string, content binary"), id_col="k", content_col="content", declared_col="declared").collect()}
+    assert (got[1].declared, got[1].media_type) == ("image/jpeg", "image/png")
+    assert [(c.start, c.media_type) for c in got[1].carved] == [(len(samples["image/png"]) + 2, "audio/wav")]
+    assert got[2].media_type == got[3].media_type == media.UNKNOWN and not got[2].carved
+
+
+# --- 4 ---
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_by_hand(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        own = []
+        for m in re.finditer(pattern, text):
+            d = "".join(c for c in m[0] if c in "0123456789")
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and pii.luhn(d)):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            own.append(m.span())
+        out.append(own)
+    return out
+
+
+def test_base_spans_equal_the_plain_patterns():
+    r = random.Random(0)
+    alphabet = "0123456789" * 2 + "..@@+-- ()ab1%é٣\n"
+    for _ in range(20000):
+        s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(s) == base_by_hand(s), repr(s)
+    assert pii.base_spans("1" * 200_000) == [[], [], [], []]  # in linear time
+
+
+def test_tagger_gradients():
+    tagger = pii.Tagger(3, hidden=3)
+    for a in ("x", "u", "out", "bias", "move"):
+        setattr(tagger, a, getattr(tagger, a).astype(np.float64))
+    texts, tags = pii.training_texts(3, 1, 20)
+    c, y = np.stack([pii.classes_of(t) for t in texts]), np.array(tags)
+    _, grads = tagger.loss_and_gradients(c, y)
+    for p, g in zip(tagger.parameters(), grads, strict=True):
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = p[i]
+        p[i] = old + 1e-3
+        up = tagger.loss_and_gradients(c, y)[0]
+        p[i] = old - 1e-3
+        down = tagger.loss_and_gradients(c, y)[0]
+        p[i] = old
+        assert abs((up - down) / 2e-3 - g[i]) < 2e-3 + 0.02 * abs(g[i])
+
+
+def test_tagger_learns_and_windows_agree(docs, corpus):
+    tagger = pii.default_tagger()
+    texts, tags = pii.training_texts(200, 999, 160)
+    got = np.array(list(tagger.tag(texts)))
+    assert (got == np.array(tags)).mean() > 0.97  # held-out texts
+    long = "quiet words and more of them " * 40 + "call (030) 123-4567 now " + "quiet words and more of them " * 40
+    spans = [s for own in pii.added_spans(long, next(iter(tagger.tag([long]))), pii.base_spans(long)) for s in own]
+    assert [long[a:b] for a, b in spans] == ["(030) 123-4567"]
+    rows = pii.find(docs, tagger).collect()
+    assert len(rows) == len(corpus)
+    by = {r.doc_id: r for r in rows}
+    for d, text, *_ in corpus:
+        base = base_by_hand(text or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, own in zip(PATTERNS, base, strict=True) for a, b in own)
+        assert by[d].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(by[d].spans.split(","))
+
+
+# --- 5 ---
+
+
+@pytest.mark.parametrize("dim,n", [(16, 400), (3, 60), (16, 3)])
+def test_top_k_is_exact(spark, monkeypatch, dim, n):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    r = random.Random(dim)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(dim)]) for i in range(n)]
+    rows += [(1000 + i, list(rows[0][1])) for i in range(3)]  # ties
+    rows += [(2000, None), (2001, [float("nan")] * dim), (2002, [None] * dim), (2003, [float("inf")] + [0.0] * (dim - 1)), (None, [0.1] * dim), (2004, []), (2050, [0.0] * dim)]
+    df = spark.createDataFrame([(*x, "e") for x in rows], "vec_id long, embedding array<double>, shard string")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
+    good = {i: np.floor(np.array(v) * 256).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in good:
+        if q % 50 == 0:
+            scored = sorted((-int(sum(a * b for a, b in zip(good[q], v))), i) for i, v in good.items() if i != q)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(want)
+
+
+# --- 6 ---
+
+
+def test_mixing_meets_targets(docs, corpus):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    per = defaultdict(int)
+    for _, t, _, s, _ in corpus:
+        per[s] += size(t)
+    sources = sorted(per, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total, capped = sum(per.values()), set()
+    while True:
+        left = total - sum(3 * per[s] for s in capped)
+        w = sum(weight[s] for s in sources if s not in capped)
+        target = {s: 3 * per[s] if s in capped else left * weight[s] / w for s in sources}
+        new = {s for s in sources if s not in capped and target[s] > 3 * per[s] + 1e-9}
+        if not new:
+            break
+        capped |= new
+    got = mixing.copies(docs).collect()
+    source = {d: s for d, _, _, s, _ in corpus}
+    text = {d: t for d, t, *_ in corpus}
+    taken = defaultdict(int)
+    assert len(got) == len(corpus)
+    for r in got:
+        s = source[r.doc_id]
+        assert (r["size"], r.source_size) == (size(text[r.doc_id]), per[s])
+        assert r.target == pytest.approx(target[s], rel=1e-9, abs=1e-9)
+        assert 0 <= r.taken <= 3 * r["size"] and r.taken == r.copies * r["size"]
+        taken[s] += r.taken
+    for s in sources:
+        largest = max(size(t) for _, t, _, x, _ in corpus if x == s)
+        assert abs(taken[s] - target[s]) <= largest / 2 + 1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.copies(docs.repartition(3)).collect()))  # reruns agree
+    mixed = mixing.mix(docs.where("doc_id is null or doc_id <> 5"))
+    assert mixed.columns == docs.columns
+
+
+# --- 7 ---
+
+
+def test_toxicity_learns_from_documents_and_locates_sentences(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(200)]
+    bad = ["vilex", "grotund", "snarkle"]
+    rows, labels, truth = [], [], {}
+    for i in range(600):
+        sentences = [" ".join(r.choice(words) for _ in range(8)) + "." for _ in range(r.randint(1, 12))]
+        toxic = i % 6 == 0
+        if toxic:
+            k = r.randrange(len(sentences))
+            sentences[k] = sentences[k].replace(" ", f" {r.choice(bad)}{r.choice(('', 'est', 'ing'))} ", 1)
+            truth[i] = sentences[k]
+        rows.append((i, " ".join(sentences)))
+        labels.append((i, 0, int(toxic)))
+    docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (None, "word")], "doc_id long, text string")
+    labels = spark.createDataFrame([*labels, (9000, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    assert len(got) == 603 and got[9001].score == got[9000].score == 0 and not got[None].held_out
+    for i in range(600):
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    tested = [i for i in range(600) if got[i].held_out]
+    right = sum(got[i].predicted == int(i in truth) for i in tested)
+    assert right / len(tested) > 0.95
+    found = [i for i in truth if got[i].predicted]
+    text = dict(rows)
+    located = sum(any(text[i][s.start : s.end].strip() == truth[i].strip() for s in got[i].offending) for i in found)
+    assert located / len(found) > 0.9
+    kept = {x.doc_id for x in toxicity.drop_toxic(docs, model).collect()}
+    assert kept == {d for d, x in got.items() if not x.predicted}
+
+
+# --- 8 ---
+
+
+def test_bpe_equals_tiktoken(docs, corpus):
+    own = bpe.ByteBPE.from_file(RANKS, public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for r in bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).collect():
+        text = next(t or "" for d, t, *_ in corpus if d == r.doc_id)
+        ids = other.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    rng = random.Random(1)
+    alphabet = "ab '\n\t   　s'tre1 9é.!_\x1c\x85x"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a" * 3000, " " * 999, "é" * 500, "abc" * 700]
+    for text, (digits, n, decoded) in zip(texts, own.encode_batch(texts), strict=True):
+        ids = other.encode_ordinary(text)
+        assert digits.decode() == "".join(f"{i}," for i in ids) and n == len(ids) and decoded == text.encode()
+    encoded = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, with_ids=True)
+    decoded = {(r.doc_id, r.text) for r in bpe.decode_documents(encoded, RANKS, public_tokenizers.PATTERN).collect()}
+    assert decoded == {(d, t or "") for d, t, *_ in corpus}
+
+
+# --- 9 ---
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    rows = [(i, a, b, y) for i, (a, b, y) in enumerate(secrets.example_findings(800, seed=99))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, label int")
+    got = {r.doc_id for r in secrets.scan(df, source_col="source").collect()}
+    tp, fp = sum(1 for i, _, _, y in rows if y and i in got), sum(1 for i, _, _, y in rows if not y and i in got)
+    assert tp / 400 > 0.95 and fp / 400 < 0.06
+
+
+def test_secret_places(spark, docs):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f"first line 1\nsome words token = \"{key}\" more words and commit {key[::-1]}\n" + "x" * 5000
+    df = spark.createDataFrame([(1, text, None), (2, None, "a"), (3, "", "b"), (1, text, None)], "doc_id long, text string, source string")
+    got = secrets.scan(df, source_col="source").collect()
+    assert len(got) == 2 and {r.secret for r in got} == {key}
+    assert all(text.split("\n")[r.line][r.start : r.end] == key for r in got)
+    assert secrets.scan(docs, source_col="source").count() == 0
+
+
+def test_secret_scan_has_no_python_in_its_plan(spark, docs):
+    plan = secrets.scan(docs, secrets.train(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# --- 10 ---
+
+
+def within_one(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+
+
+def lines_by_hand(rows, min_chars):
+    seen, want = [], {}
+    for d, t, *_ in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        if t is None:
+            want[d] = (None, 0, 0)
+            continue
+        keep, dropped = [], 0
+        for x in t.split("\n"):
+            s = x.strip()
+            if len(s) >= min_chars:
+                if any(within_one(s, o) for o in seen):
+                    dropped += 1
+                else:
+                    keep.append(x)
+                seen.append(s)
+            else:
+                keep.append(x)
+        want[d] = ("\n".join(keep), len(t.split("\n")), dropped)
+    return want
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("ab cdé") for _ in range(r.randint(5, 30))) for _ in range(50)]
+
+    def edited(s):
+        i, o = r.randrange(len(s) + 1), r.random()
+        return s[:i] + r.choice("abX") + s[i + (o < 0.5) :] if o < 0.8 else s[:i] + s[i + 1 :]
+
+    rows = []
+    for d in range(200):
+        lines = []
+        for _ in range(r.randint(0, 6)):
+            s = r.choice(base)
+            for _ in range(r.randint(0, 3)):
+                s = edited(s)
+            lines.append(s)
+        rows.append((d, None if d % 50 == 7 else "\n".join(lines), "x", "s", 5))
+    rows += [*rows[:3], (None, "some line that is long enough to count\nshort", "y", "s", 1)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), min_chars=8).collect()
+    want = lines_by_hand(rows, 8)
+    assert len(got) == len(rows) and sum(n for *_, n in want.values()) > 100
+    for x in got:
+        assert (x.text, x.n_lines, x.n_dropped) == want[x.doc_id]
+        assert x.n_chars == ((1 if x.doc_id is None else 5) if not x.n_dropped else len(x.text))
+
+
+def test_line_dedup_keeps_columns(docs, corpus):
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    want = lines_by_hand(corpus, line_dedup.MIN_CHARS)
+    for x in out.select("doc_id", "text", "n_lines", "n_dropped").collect():
+        assert (x.text, x.n_lines, x.n_dropped) == want[x.doc_id]
