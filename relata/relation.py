@@ -29,12 +29,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 class Relation:
-    def __init__(self, df: DataFrame, keys: Iterable[Iterable[str]] = (), order: Iterable[tuple[str, bool, bool]] = ()):
-        """Takes df as it is: a set without nulls. Use of() for other frames."""
-        self.df = df
-        self.keys = frozenset(Key(k) for k in keys) or frozenset([Key(df.columns)])
+    def __init__(self, df: DataFrame | None, keys: Iterable[Iterable[str]] = (), order: Iterable[tuple[str, bool, bool]] = (), *, bag: DataFrame | None = None, raw: tuple | None = None):
+        """Takes df as it is: a set without nulls. Use of() for other frames.
+
+        bag: the relation with duplicates, from which df comes by a distinct once it is needed.
+        raw: the source before nulls were filled, with its declared keys; filters reach its scan.
+        """
+        self._df, self.bag, self.raw = df, bag, raw
+        self.keys = frozenset(Key(k) for k in keys) or frozenset([Key(self.columns)])
         self.sorting = tuple(order)
 
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            self._df = self.bag.distinct()
+        return self._df
+
     # --- construction ---
 
     @classmethod
@@ -47,8 +57,8 @@ class Relation:
                 c = filled(c, f.dataType)
             target = stored(f.dataType)
             columns.append((c if target == f.dataType else c.cast(target)).alias(f.name))
-        df = df.select(*columns)
-        return cls(df, keys) if keys else cls(df.distinct())
+        made, keys = df.select(*columns), [list(k) for k in keys]
+        return cls(made, keys, raw=(df, keys)) if keys else cls(None, (), bag=made, raw=(df, keys))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, keys: Iterable[Iterable[str]] = ()) -> Relation:
@@ -67,7 +77,7 @@ class Relation:
 
     @property
     def columns(self) -> list[str]:
-        return self.df.columns
+        return (self.bag if self._df is None else self._df).columns
 
     @property
     def heading(self) -> dict[str, object]:
@@ -103,7 +113,8 @@ class Relation:
     def project(self, *names: str) -> Relation:
         for n in names:
             self._field(n)
-        return self._set(self.df.select(*map(_col, names)), self.keys, [s for s in self.sorting if s[0] in names])
+        source = self.df if self.bag is None or self._has_key(names) else self.bag
+        return self._set(source.select(*map(_col, names)), self.keys, [s for s in self.sorting if s[0] in names])
 
     def rename(self, **new_from_old: str) -> Relation:
         """Renamed attributes alone: rename(X="A"); with all of the heading it is a pure rename."""
@@ -119,7 +130,19 @@ class Relation:
     def where(self, condition: object) -> Relation:
         if isinstance(condition, Expr) and condition.any(Fold):
             raise RelationError("a fold can't be in a where")
-        return Relation(self.df.filter(column(condition, Place())), self.keys, self.sorting)
+        test, raw, source = column(condition, Place()), None, self
+        names = _attributes(condition)
+        if self.raw is not None and names and all(stored(t.dataType) == t.dataType and not isinstance(t.dataType, T.ArrayType | T.StructType) for t in self.raw[0].schema if t.name in names):
+            # Filled columns hide a filter from the scan. Where none of its attributes is null it says the
+            # same of the raw columns, so the scan may drop what fails there.
+            maybe = test
+            for n in sorted(names):
+                maybe = maybe | _col(n).isNull()
+            source = Relation.of(self.raw[0].filter(maybe), self.raw[1])
+            raw = source.raw
+        if source._df is None:
+            return Relation(None, self.keys, self.sorting, bag=source.bag.filter(test), raw=raw)
+        return Relation(source.df.filter(test), self.keys, self.sorting, raw=raw)
 
     def order(self, *terms: str) -> Relation:
         """Terms are names, with - for descending and % for grouping before them: "%CITY", "-QTY", "%-A"."""
@@ -167,13 +190,14 @@ class Relation:
             return self._ordered(kept, exprs, bool(windows))
         if folds:
             return self._grouped(kept, exprs)
-        out = self.df.select(*(_col(old).alias(k) for k, old in kept.items()), *(self._made(column(v, Place())).alias(k) for k, v in exprs.items()))
         back = {old: k for k, old in kept.items()}
         keys = [[back[n] for n in key] for key in self.keys if key <= back.keys()]
+        source = self.df if keys or self.bag is None else self.bag  # the result gets its own distinct
+        out = source.select(*(_col(old).alias(k) for k, old in kept.items()), *(self._made(column(v, Place()), source).alias(k) for k, v in exprs.items()))
         return self._set(out, keys, [(back[n], d, g) for n, d, g in self.sorting if n in back])
 
     def _made(self, c: Column, df: DataFrame | None = None) -> Column:
-        t = (df or self.df).select(c).schema[0].dataType
+        t = (self.df if df is None else df).select(c).schema[0].dataType
         if isinstance(t, T.ArrayType):
             c = F.array_sort(F.array_distinct(c))
         return c if stored(t) == t else c.cast(stored(t))
@@ -396,6 +420,16 @@ def _col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def _attributes(e: object) -> set[str]:
+    """Names of the attributes in an expression; none if it holds Columns, whose names can't be told."""
+    if isinstance(e, Attr):
+        return {e.name}
+    parts = [p for p in e.parts] if isinstance(e, Expr) else []
+    if any(isinstance(p, Column) for p in parts):
+        return set()
+    return set().union(*map(_attributes, parts)) if parts else set()
+
+
 def _uses(e: object, names: tuple[str, ...]) -> bool:
     return isinstance(e, Window) and e.name in names or isinstance(e, Expr) and any(_uses(p, names) for p in e.parts)
 
