@@ -8,7 +8,8 @@ inclusion odds differ from source to source. u is a hash of the document id, so
 
 The cut is found without sorting a source in one task: ranks fall into bins, words are summed by
 source and bin (combined map-side), running sums over bins give the bin where the cut lies, and
-only that bin's documents are ordered. A document is taken while at least half of it fits.
+only that bin's documents are ordered. Documents are taken while they fit; then, a few times, the first
+document in order that fits into what is left and fills at least a third of it.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
 null id hashes like any value; ties of rank go by id, then size; a source of size 0 has target 0;
@@ -26,6 +27,8 @@ from relata.llm.common import settle, unused
 #: Fixed value: a word is a run of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1024
+#: Times that the words left over after the draw are filled up.
+FILLS = 5
 
 
 def words_in(text: Column) -> Column:
@@ -72,9 +75,18 @@ def copies(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: float
     marked = ranked.join(cut, ranked.source.eqNullSafe(cut.source), "left").select(ranked["*"], "cut_bin", "before")
     edge = marked.where("bin = cut_bin")
     run = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = edge.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / 2 <= F.col("left")).cast("long"))
+    edge = edge.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") <= F.col("left")).cast("long"))
     rest = marked.where("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when(F.col("cut_bin").isNull(), F.col("p") > 0).otherwise(F.col("bin") < F.col("cut_bin")).cast("long"))
-    out = edge.unionByName(rest)
+    out = settle(edge.unionByName(rest).drop("cut_bin", "before"), "drawn")
+    for _ in range(FILLS):
+        # what is left of a source takes the first document in order that fits and fills a third of it
+        gaps = out.groupBy("source").agg((F.max("left") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
+        near = out.join(gaps, out.source.eqNullSafe(gaps.source)).select(out["*"], "gap")
+        open_ = near.where((F.col("p") > 0) & (F.col("extra") == 0) & (F.col("size") <= F.col("gap")) & (F.col("size") * 3 >= F.col("gap")) & (F.col("size") > 0))
+        first = settle(open_.groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("next")), "fill")
+        mine = F.struct(out["rank"], out["doc_id"], out["size"])
+        met = out.join(first, out.source.eqNullSafe(first.source), "left")
+        out = met.select(*[out[c] for c in out.columns if c != "extra"], F.when(mine.eqNullSafe(F.col("next")), 1).otherwise(F.col("extra")).cast("long").alias("extra"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
 
 
