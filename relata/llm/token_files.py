@@ -21,10 +21,12 @@ equal id are ordered by their text's hash; extra columns are not read; an empty
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ MASK_DELTA = 0xA282EAD8
 HEAD, ENTRY = "<Bq", "<BqQ"
 HEAD_BYTES, ENTRY_BYTES = struct.calcsize(HEAD), struct.calcsize(ENTRY)
 REMEMBER = 250_000
+#: Fixed value: the lower-case letters of Latin-1.
+LETTERS = "a-zªºµß-öø-ÿ"
 
 
 def masked_crc(data: bytes) -> int:
@@ -78,21 +82,61 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memory: dict[str, bytes] = {}
+        white = r" \t-\r"
+        self.odd = re.compile(r"[^\t-\r -\x7e\xa1-\xff]|<\|").search
+        self.plain = re.compile(f"[{LETTERS}]+|[^{LETTERS}{white}]+").findall
+        self.quoted = re.compile(f"[^{white}']*'[^{white}]*|[{LETTERS}]+|[^{LETTERS}{white}]+").findall
+
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), 4096):
+            for got in self.tokenizer.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
+                yield np.array(got.ids, dtype=self.dtype).tobytes()
+
+    def _encode_letters(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters only, thousands in one call: the last token of each ends a word."""
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                yield from self._encode(part)
+                continue
+            data, stops = ids.tobytes(), stops * self.width
+            yield from (data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        simple = re.compile(f"[{LETTERS}]+").fullmatch
+        words = [p for p in pieces if simple(p)]
+        self.memory.update(zip(words, self._encode_letters(words), strict=True))
+        rest = [p for p in pieces if p not in self.memory]
+        self.memory.update(zip(rest, self._encode(rest), strict=True))
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts whose ids in a row are the text's.
+
+        The tokenizer cuts at white space and between letters and other characters, but for
+        apostrophes, and reads lower case. In Latin-1, lower case and the normal form don't depend on
+        neighbours, so words are looked up in lower case and without marks; other texts are cut at
+        blanks alone.
+        """
+        if self.odd(text):
+            return text.replace("\n", " ").split(" ")
+        return (self.quoted if "'" in text else self.plain)(text.lower())
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*lists) - self.memory.keys())
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start : start + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memory[word] = np.array(got.ids, dtype=self.dtype).tobytes()
+        lists = [self.pieces(t) for t in texts]
+        fresh = list(set(filterfalse(self.memory.__contains__, chain.from_iterable(lists))))
+        self._learn(fresh)
         get = self.memory.__getitem__
-        for words in lists:
-            yield b"".join(map(get, words))
+        for pieces in lists:
+            yield b"".join(map(get, pieces))
         if len(self.memory) > REMEMBER:
-            for word in fresh:
-                del self.memory[word]
+            for piece in fresh:
+                del self.memory[piece]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
