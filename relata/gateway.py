@@ -113,6 +113,16 @@ class Session:
             return [{f.name: self.to_json(value_of(r[f.name], f.dataType, self.interp.spark)) for f in v.df.schema} for r in v.df.toLocalIterator()]
         return v
 
+    def describe(self) -> str:
+        """Types, variables and operators as JSON, for clients that make their own bindings."""
+        shown = lambda t: t if isinstance(t, str) else {"kind": t[0], "of": {n: shown(x) for n, x in t[1].items()} if isinstance(t[1], dict) else t[1]}
+        names = self.interp.globals.names
+        return json.dumps({
+            "types": {n: [[f, shown(t)] for f, t in fields] for n, fields in self.interp.types.items()},
+            "variables": {n: shown(type_of(b.value)) for n, b in names.items() if b.kind == "value"},
+            "operators": {n: [[[p, shown(t)] for p, t in c.params] for c in b.value] for n, b in names.items() if b.kind == "fun"},
+        })
+
     # --- REST names ---
 
     def rest(self, method: str, name: str, id: str | None = None, query: dict[str, str] | None = None, body: str | None = None) -> str:

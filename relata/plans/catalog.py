@@ -32,11 +32,11 @@ def system_relation(interp, name: str) -> Relation:
                 rows.append((n, "operator", _shown(c.result) if c.result else "any", ",".join(p for p, _ in c.params)))
         else:
             rows.append((n, "variable" if b.kind == "value" else "deferred", _shown(type_of(b.value)) if b.kind == "value" else "any", ""))
-    if name == "andl_variable":
+    if name.endswith("_variable"):
         return Relation.literal(interp.spark, [(n, t) for n, k, t, _ in rows if k == "variable"], "Name string, Type string")
-    if name == "andl_operator":
+    if name.endswith("_operator"):
         return Relation.literal(interp.spark, [(n, t, v) for n, k, t, v in rows if k == "operator"], "Name string, Type string, Arguments string")
-    if name == "andl_member":
+    if name.endswith("_member"):
         members = [(n, f, _shown(t)) for n, fields in interp.types.items() for f, t in fields]
         return Relation.literal(interp.spark, members, "Name string, Member string, Type string")
     return Relation.literal(interp.spark, rows, schema)

@@ -764,10 +764,15 @@ class Interp:
             return Relation.seq(self.spark, int(first))
         if name in ("rel", "tup") and len(args) == 1:
             return self.convert(name, first)
-        if name in ("pp", "write", "type", "now", "read", "pause", "fail", "assert") or name.startswith("andl_"):
+        if name in ("pp", "write", "type", "now", "read", "pause", "fail", "assert") or self.system_name(name):
             return self.system(name, args, scope)
         return NotImplemented
 
+    def system_name(self, name: str) -> bool:
+        """Names of system relations: any prefix, then one of four endings, as in sys_catalog."""
+        prefix, _, ending = name.rpartition("_")
+        return bool(prefix) and ending in ("catalog", "variable", "operator", "member") and name not in self.globals.names
+
     def tuple_set(self, name: str, a: Tup, b: Tup) -> Tup:
         left, right = a.fields, b.fields
         return Tup({

@@ -337,10 +337,37 @@ def sum(r:{{ K:'', V:0 }}) => r .{ fold(+,V) }
 
 
 def test_system_relations(session):
-    assert session.evaluate("andl_variable() .where(Name = 'S') .count = 1") is True
+    assert session.evaluate("sys_variable() .where(Name = 'S') .count = 1") is True
     assert session.evaluate("schema(SP) = {{ Name:='S#', Type:='text' }, { Name:='P#', Type:='text' }, { Name:='QTY', Type:='number' }}") is True
 
 
 def test_parser_positions():
     nodes = [(node[0], line) for node, line, _ in Parser("a := 1\n\n// note\nb => a\n/* two\nlines */ c").program()]
     assert nodes == [("assign", 1), ("defer", 4), ("name", 6)]
+
+
+def test_description(session):
+    told = json.loads(session.describe())
+    assert told["variables"]["SP"] == {"kind": "rel", "of": {"S#": "text", "P#": "text", "QTY": "number"}} and "fact" in told["operators"]
+
+
+def test_dates_and_binary(session):
+    session.run_script("D := {{ d := date(t'2016-01-01'), b := b'0a0b0c' }}")
+    assert session.evaluate("D .{ x := dow(d), y := year(d), z := daysdiff(d, dateymd(2015, 12, 30)), w := bget(b, 1), l := blength(bset(b, 0, 255)) } = {{ x:=5, y:=2016, z:=2, w:=11, l:=3 }}") is True
+    assert session.evaluate("bget(b'0a0b', 1) = 11 and bset(b'0a0b', 0, 255) = b'ff0b' and binary(2) = b'0000'") is True
+
+
+def test_open_functions_agree_with_closed_ones(session):
+    """Each function gives the same over attributes as over values."""
+    session.run_script("V := {{ s := ' a:b:c ', n := 7, m := 0-3, t := t'2016-02-29 13:05:00', q := true }}")
+    for e in ("length(s)", "trim(s)", "left(s, 3)", "left(s, 12)", "right(s, 3)", "right(s, 12)", "fill('xy', n)", "before(s, ':')", "after(s, ':')", "before(s, 'z')", "after(s, 'z')", "toupper(s)", "tolower(s)", "n div m", "m div n", "n mod m",
+              "m mod n", "n ** 2", "max(n, m)", "min(n, m)", "n and 3", "n or 8", "n xor 2", "-n", "n / 2", "n * m - 1", "s & n & q", "not q", "q xor q", "n > m and q", "s =~ 'b'", "year(t)", "month(t)", "day(t)", "dow(t)", "t.text", "number('4.5')", "bool('TRUE')",
+              "number(t)", "if(n > m, s, 'no')", "s = ' a:b:c '", "s < 'b'", "date(t) = dateymd(2016,2,29)", "time(date(t)).text", "length(s).text"):
+        session.run_script("")
+        closed = e
+        for name, value in (("s", "' a:b:c '"), ("n", "7"), ("m", "(0-3)"), ("t", "t'2016-02-29 13:05:00'"), ("q", "true")):
+            import re
+
+            closed = re.sub(rf"(?<![\w'.]){name}(?![\w'(])", value, closed)
+        a, b = session.evaluate(f"V .{{ ({e}) }}"), session.evaluate(closed)
+        assert a == b, (e, a, b)
