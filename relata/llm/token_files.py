@@ -44,6 +44,9 @@ HEAD_BYTES, ENTRY_BYTES = struct.calcsize(HEAD), struct.calcsize(ENTRY)
 REMEMBER = 250_000
 #: Fixed value: the lower-case letters of Latin-1.
 LETTERS = "a-zªºµß-öø-ÿ"
+#: Latin-1 without control characters other than white space, and its lower case.
+USUAL = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
+LOWER = bytes(ord(chr(c).lower()) if c != 0xB5 else c for c in range(256))
 
 
 def masked_crc(data: bytes) -> int:
@@ -85,11 +88,11 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memory: dict[str, bytes] = {}
-        white = r" \t-\r"
-        self.odd = re.compile(r"[^\t-\r -\x7e\xa1-\xff]|<\|").search
-        self.plain = re.compile(f"[{LETTERS}]+|[^{LETTERS}{white}]+").findall
-        self.quoted = re.compile(f"[^{white}']*'[^{white}]*|[{LETTERS}]+|[^{LETTERS}{white}]+").findall
+        self.memory: dict[str | bytes, bytes] = {}
+        letters, white = LETTERS.encode("latin-1"), rb" \t-\r"
+        self.plain = re.compile(b"[%b]+|[^%b%b]+" % (letters, letters, white)).findall
+        self.quoted = re.compile(b"[^%b']*'[^%b]*|[%b]+|[^%b%b]+" % (white, white, letters, letters, white)).findall
+        self.letters = re.compile(b"[%b]+" % letters).fullmatch
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         for start in range(0, len(words), 4096):
@@ -108,24 +111,27 @@ class WordTokenizer:
             data, stops = ids.tobytes(), stops * self.width
             yield from (data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True))
 
-    def _learn(self, pieces: list[str]) -> None:
-        simple = re.compile(f"[{LETTERS}]+").fullmatch
-        words = [p for p in pieces if simple(p)]
-        self.memory.update(zip(words, self._encode_letters(words), strict=True))
+    def _learn(self, pieces: list[str | bytes]) -> None:
+        words = [p for p in pieces if type(p) is bytes and self.letters(p)]
+        self.memory.update(zip(words, self._encode_letters([w.decode("latin-1") for w in words]), strict=True))
         rest = [p for p in pieces if p not in self.memory]
-        self.memory.update(zip(rest, self._encode(rest), strict=True))
+        self.memory.update(zip(rest, self._encode([p.decode("latin-1") if type(p) is bytes else p for p in rest]), strict=True))
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str] | list[bytes]:
         """Parts whose ids in a row are the text's.
 
         The tokenizer cuts at white space and between letters and other characters, but for
         apostrophes, and reads lower case. In Latin-1, lower case and the normal form don't depend on
-        neighbours, so words are looked up in lower case and without marks; other texts are cut at
-        blanks alone.
+        neighbours, so words are looked up in lower case and without marks, as bytes; other texts are
+        cut at blanks alone.
         """
-        if self.odd(text):
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            data = None
+        if data is None or data.translate(None, USUAL) or b"<|" in data:
             return text.replace("\n", " ").split(" ")
-        return (self.quoted if "'" in text else self.plain)(text.lower())
+        return (self.quoted if b"'" in data else self.plain)(data.translate(LOWER))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         lists = [self.pieces(t) for t in texts]
