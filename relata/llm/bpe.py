@@ -5,9 +5,9 @@ i), so the root is the leftmost pair of least rank. A merge changes three leaves
 own, its right half's and its left neighbour's) and their ancestors: O(log n) for each merge.
 Short pretokens are merged many at a time in numpy (one tree a row), long ones one by one.
 
-Encoding works on chunks, each a run of white space with the run of other characters after it: no
-match of the pattern crosses from other characters into white space, so chunks are independent and
-their ids can be remembered. The memory is bounded; what it cannot hold is encoded again.
+The pattern's matches (pretokens) are independent, so their ids are remembered. The memory is bounded;
+what it cannot hold is encoded again. Texts in Latin-1 are cut by a byte pattern that says the same
+as the public one; others by the pattern itself.
 
 Defined results: a null text is encoded as an empty one (no ids); every row is answered on its own,
 so repeated rows and repeated ids give repeated answers; extra columns of the input are not read.
@@ -19,6 +19,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from relata.llm.common import prepare
 
-#: The characters with the Unicode property White_Space.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A public pattern, and Latin-1's letters, numbers and white space in its sense.
+KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+L, N, S = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\t-\r \x85\xa0"
+LATIN = re.compile(b" ?[%b]+|'(?:s|t|re|ve|m|ll|d)| ?[%b]+| ?[^%b%b%b]+|[%b]+(?![^%b])|[%b]+" % (L, N, S, L, N, S, S, S))
 NO_PAIR = np.int64(1 << 40)
 ROW_BYTES = 64
 
@@ -41,10 +44,11 @@ class ByteBPE:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.latin = LATIN.findall if pattern == KNOWN else None
         self.remember = remember
-        self.memory: dict[str, tuple[bytes, int, bytes]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.digits: dict[str | bytes, bytes] = {}
+        self.decoded: dict[str | bytes, bytes] = {}
+        self.written = {i: b"%d," % i for i in self.tokens}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -170,47 +174,52 @@ class ByteBPE:
                 for r, node in ups:
                     tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
 
-    def _learn(self, chunks: set[str]) -> list[str]:
-        split = {c: self.pattern.findall(c) for c in chunks}
-        new = {w for parts in split.values() for w in parts} - self.words.keys()
-        short, fresh = [], list(new)
-        for w in fresh:
-            data = w.encode()
+    def _learn(self, pieces: list[str | bytes]) -> None:
+        ids: list[list[int] | None] = []
+        short = []
+        for piece in pieces:
+            data = piece.decode("latin-1").encode() if type(piece) is bytes else piece.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.words[w] = [rank]
+                ids.append([rank])
             elif len(data) > ROW_BYTES:
-                self.words[w] = self.merge_long(data)
+                ids.append(self.merge_long(data))
             else:
-                short.append((w, data))
-        for (w, _), ids in zip(short, self.merge_rows([d for _, d in short]), strict=True):
-            self.words[w] = ids
-        for c, parts in split.items():
-            ids = [x for w in parts for x in self.words[w]]
-            self.memory[c] = (b"".join(b"%d," % x for x in ids), len(ids), self.decode(ids))
-        return fresh
+                short.append((len(ids), data))
+                ids.append(None)
+        for (i, _), own in zip(short, self.merge_rows([d for _, d in short]), strict=True):
+            ids[i] = own
+        write = self.written.__getitem__
+        for piece, own in zip(pieces, ids, strict=True):
+            self.digits[piece] = b"".join(map(write, own))
+            self.decoded[piece] = self.decode(own)
+
+    def pretokens(self, text: str) -> list[str] | list[bytes]:
+        if self.latin is not None:
+            try:
+                return self.latin(text.encode("latin-1"))
+            except UnicodeEncodeError:
+                pass
+        return self.pattern.findall(text)
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[tuple[bytes, int, bytes]]:
         """For each text: its ids in decimal, each with a comma after it; their number; the bytes decoded from them."""
-        lists = [self.chunks.findall(t) for t in texts]
-        fresh = set().union(*lists) - self.memory.keys()
-        words = self._learn(fresh)
-        get = self.memory.__getitem__
-        for chunks in lists:
-            parts = list(map(get, chunks))
-            yield b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
-        if len(self.memory) > self.remember:
-            for c in fresh:
-                del self.memory[c]
-        if len(self.words) > self.remember:
-            for w in words:
-                del self.words[w]
+        lists = [self.pretokens(t) for t in texts]
+        fresh = list(set(filterfalse(self.digits.__contains__, chain.from_iterable(lists))))
+        self._learn(fresh)
+        digits, decoded = self.digits.__getitem__, self.decoded.__getitem__
+        for pieces in lists:
+            written = b"".join(map(digits, pieces))
+            yield written, written.count(b","), b"".join(map(decoded, pieces))
+        if len(self.digits) > self.remember:
+            for piece in fresh:
+                del self.digits[piece], self.decoded[piece]
 
     def encode(self, text: str) -> list[int]:
         (digits, _, _), = self.encode_batch([text])
         return [int(x) for x in digits.split(b",")[:-1]]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 _ENCODERS: dict[tuple, ByteBPE] = {}
