@@ -207,8 +207,8 @@ class Tagger:
         z, w = np.empty((2, b, 4 * n), dtype=np.float32), np.empty((2, b, 4 * n), dtype=np.float32)
         e = np.empty((2, t, b, self.K), dtype=np.float32)
         for i in range(t):
-            np.take(self.x[0], c[i], axis=0, out=w[0])
-            np.take(self.x[1], c[t - 1 - i], axis=0, out=w[1])
+            np.take(self.x[0], c[i], axis=0, out=w[0], mode="clip")
+            np.take(self.x[1], c[t - 1 - i], axis=0, out=w[1], mode="clip")
             np.matmul(h, self.u, out=z)
             z += w
             np.tanh(z, out=z)
@@ -225,21 +225,43 @@ class Tagger:
         e[0] += self.bias
         return e[0]
 
+    def hopeful(self, e: np.ndarray) -> np.ndarray:
+        """Windows in which some path may beat all-none, by an upper bound.
+
+        A run of other tags gains at most its best emissions over none, and for each step within it the
+        best transition; it pays for entering and leaving but at a window's ends. Best runs are found
+        from prefix sums; if none gains anything, neither do several.
+        """
+        rest = self.move[0, 0]
+        stay, enter, leave = float(self.move[1:, 1:].max() - rest), float(self.move[0, 1:].max() - rest), float(self.move[1:, 0].max() - rest)
+        best = e[:, :, 1]
+        for k in range(2, self.K):
+            best = np.maximum(best, e[:, :, k])
+        total = best - e[:, :, 0]
+        total += np.float32(stay)
+        np.cumsum(total, axis=0, out=total)
+        least = np.minimum.accumulate(total, axis=0)
+        inside = (total[1:] - least[:-1]).max(axis=0)
+        gains = (inside + enter + leave, total.max(axis=0) + leave, total[-1] - least[-2] + enter, total[-1])
+        return np.flatnonzero(np.maximum.reduce(gains) - stay >= -1e-2)
+
     def decode(self, e: np.ndarray) -> np.ndarray:
         """Viterbi tags (T, B). Windows in which no path can beat all-none are not searched."""
         t, b, k = e.shape
         tags = np.zeros((t, b), dtype=np.int8)
-        gain = 2 * max(0.0, float(self.move.max() - self.move[0, 0]))
-        open_ = np.flatnonzero((e[:, :, 1:].max(axis=2) - e[:, :, 0]).max(axis=0) >= -gain)
+        open_ = self.hopeful(e)
         if not len(open_):
             return tags
         e = np.ascontiguousarray(e[:, open_].transpose(0, 2, 1))
         back = np.zeros((t, k, len(open_)), dtype=np.int8)
         best = e[0].copy()
         for i in range(1, t):
-            paths = best[:, None] + self.move[:, :, None]
-            back[i] = paths.argmax(axis=0)
-            best = paths.max(axis=0) + e[i]
+            top = best[0] + self.move[0][:, None]
+            for j in range(1, k):
+                path = best[j] + self.move[j][:, None]
+                back[i][path > top] = j
+                np.maximum(top, path, out=top)
+            best = top + e[i]
         own, at = best.argmax(axis=0), np.arange(len(open_))
         found = np.zeros((t, len(open_)), dtype=np.int8)
         for i in range(t - 1, -1, -1):
