@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from relata.sources.store import shared_folder
 
 
 def prepare(spark: SparkSession, batch_rows: int = 512) -> None:
@@ -30,17 +27,10 @@ def prepare(spark: SparkSession, batch_rows: int = 512) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in the folder that the session names in spark.checkpoint.dir; a folder of this
-    machine is used only where that setting is unset, as in tests.
+    It lies in the folder that the session names in spark.checkpoint.dir and goes when the driver
+    ends; a folder of this machine is used only where that setting is unset, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="relata-")
-            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-        base = "file://" + _OWN[app]
-    return f"{base.rstrip('/')}/relata-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

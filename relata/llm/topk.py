@@ -37,7 +37,6 @@ class ImpactIndex:
         self.ids, self.vectors = ids, vectors
         size = np.abs(vectors)
         impact = np.zeros(vectors.shape, dtype=np.int8)
-        np.log2(size, out=np.zeros(vectors.shape), where=size > 0)
         impact[size > 0] = np.floor(np.log2(size[size > 0])) + 1
         self.segments, rest = [], vectors.astype(np.float64)
         levels = sorted(set(impact[impact > 0].tolist()), reverse=True)
