@@ -541,8 +541,9 @@ class Interp:
             value = Open(literal(value), type_of(value))
         source = row.extended() if row.added else rel
         if not outer:
-            one = source.transform([], False, {"_lifted": value.expr})
-            got = one.df.take(1) if one.sorting else one.df.limit(1).collect()
+            plain = not (isinstance(value.expr, Expr) and (value.expr.any(Fold) or value.expr.any(Window)))
+            one = (source.take(1) if plain else source).transform([], False, {"_lifted": value.expr})
+            got = one.df.limit(1).collect()
             if not got:
                 return default_of(value.type, self.types, self.spark)
             out = value_of(got[0][0], one.df.schema[0].dataType, self.spark)
@@ -598,8 +599,6 @@ class Interp:
 
     def on_call(self, node, scope):
         name = node[1]
-        if name in ("and", "or") and len(node[2]) == 2 and self.row_scope(scope) is None:
-            pass
         return self.call(name, [self.value(a, scope) for a in node[2]], scope)
 
     def call(self, name: str, args: list, scope: Scope) -> object:

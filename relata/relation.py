@@ -162,9 +162,10 @@ class Relation:
         return Relation(self.df.orderBy(*sort_columns(self.sorting, self.columns)).offset(max(0, n)), self.keys, self.sorting)
 
     def lift(self, expr: object) -> object:
-        """A scalar: the expression's first value, or its type's default if there is none."""
-        one = self.select(_lifted=expr)
-        row = one.df.limit(1).collect() if not self.sorting else one.df.take(1)
+        """A scalar: the expression's first value by order, or its type's default if there is none."""
+        plain = not (isinstance(expr, Expr) and (expr.any(Fold) or expr.any(Window)))
+        one = (self.take(1) if plain else self).select(_lifted=expr)
+        row = one.df.limit(1).collect()
         return row[0][0] if row else default_value(one.df.schema[0].dataType)
 
     def select(self, *names: str, star: bool = False, **new: object) -> Relation:

@@ -3,31 +3,39 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
+
+
+def _drop(folder: str) -> None:
+    with contextlib.suppress(Exception):
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
+    """This application's folder in spark.checkpoint.dir, removed when the driver's process ends.
+
+    Where that setting is unset, as in tests, it is a folder of this machine.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="relata-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return "file://" + _OWN[app]
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="relata-")
+        _FOLDERS[app] = f"{base.rstrip('/')}/relata-{app}"
+        atexit.register(_drop, _FOLDERS[app])
+    return _FOLDERS[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df, written once and read back; frames without columns have at most one row and stay as they are."""
     if not df.columns:
         return df
-    path = f"{shared_folder(df.sparkSession)}/relata-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

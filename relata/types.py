@@ -75,11 +75,6 @@ def stored(t: T.DataType) -> T.DataType:
     return t
 
 
-def number_text(c: Column) -> Column:
-    """Decimal text without the zeros that padding adds after a decimal point."""
-    return F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$|\.0*$", "$1").alias("t")
-
-
 def text_form(c: Column, t: T.DataType) -> Column:
     k = kind(t)
     if k == "text":

@@ -164,3 +164,9 @@ def test_take_and_skip_in_all_orders(db):
     names = [x.SNAME for x in s.order("SNAME").take(9).rows()]
     for i, j in itertools.product(range(0, 7), (-1, 0, 2, 9)):
         assert sorted(x.SNAME for x in s.order("SNAME").skip(i).take(j).rows()) == sorted(names[i : i + max(0, j)])
+
+
+def test_lift_goes_by_order(db):
+    s = db["S"]
+    assert s.order("-STATUS", "-SNAME").lift(attr("SNAME")) == "Blake" and s.order("STATUS").lift(attr("SNAME")) == "Jones"
+    assert s.lift(attr("S#")) == "S5"  # without an order, by all attributes
