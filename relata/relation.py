@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from relata.expr import Attr, Expr, Fold, Place, Window, column, quoted
 from relata.operators.ordered import GroupPlace, RunPlace, numbered, prefix_sums, runs, sort_columns
+from relata.sources.store import settle, ship
 from relata.types import RelationError, default_value, filled, kind, signature, stored
 
 Key = frozenset
@@ -25,6 +26,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.caseSensitive", "true")
     spark.conf.set("spark.sql.decimalOperations.allowPrecisionLoss", "false")
     spark.conf.set("spark.sql.ansi.enabled", "true")
+    ship(spark)
     return spark
 
 
@@ -393,8 +395,6 @@ class Relation:
         Semi-naive: a round applies step to the last round's new tuples only. Rounds are written to
         the checkpoint folder, so the plan stays short and lost executors cost no recomputation.
         """
-        from relata.sources.store import settle
-
         found = settle(self.df)
         delta = Relation(found)
         for _ in range(max_rounds):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
 
@@ -32,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package. On a cluster it comes with --py-files; this serves one machine."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df, written once and read back; frames without columns have at most one row and stay as they are."""
     if not df.columns:
