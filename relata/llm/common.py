@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.sources.store import shared_folder
+from relata.sources.store import shared_folder, ship
 
 
 def prepare(spark: SparkSession, batch_rows: int = 512) -> None:
     """Bound Arrow batches and let Python workers import this package.
 
-    Documents are long, so the default of 10,000 rows a batch could need gigabytes. On a cluster
-    the package is shipped with ``--py-files``; the path below serves sessions on one machine.
+    Documents are long, so the default of 10,000 rows a batch could need gigabytes.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
