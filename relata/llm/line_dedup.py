@@ -1,7 +1,9 @@
 """Line dedup by a deletion-neighbourhood join: a line goes if an earlier one lies within one edit.
 
-Lines are compared without outer white space; those shorter than min_chars are left alone. Earlier
-means less (document id, line number). An edit inserts, deletes or replaces one character.
+Lines are compared without outer white space. Every line that then holds a character takes part;
+a caller may leave those shorter than min_chars alone. Earlier means less (document id, line
+number). An edit inserts, deletes or replaces one character, so of lines of one character only the
+first stays.
 
 1. Equal lines meet by hash; the earliest occurrence stands for them, so copies are joined once.
 2. Two lines within one edit share their first or second half (cut at half the shorter length).
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from relata.llm.common import prepare, settle, unused
 from relata.llm.hashing import BASE, POINT, Ranges, U, mix, points
 
-MIN_CHARS = 20
+MIN_CHARS = 1
 #: Which half two lines share: first or second, at a line's own length or at one less.
 OWN_FIRST, OWN_SECOND, LESS_FIRST, LESS_SECOND = 1, 2, 4, 8
 

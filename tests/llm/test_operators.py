@@ -501,3 +501,13 @@ def test_line_dedup_keeps_columns(docs, corpus):
     want = lines_by_hand(corpus, line_dedup.MIN_CHARS)
     for x in out.select("doc_id", "text", "n_lines", "n_dropped").collect():
         assert (x.text, x.n_lines, x.n_dropped) == want[x.doc_id]
+
+
+def test_line_dedup_takes_lines_of_any_length(spark):
+    r = random.Random(8)
+    rows = [(d, "\n".join("".join(r.choice("abcdefghijé") for _ in range(r.randint(0, 19))) if r.random() < 0.5 else r.choice(("", " ", "x", " }", "ab", "Les.", "And ornd.")) for _ in range(r.randint(1, 6))), "x", "s", 5) for d in range(150)]
+    rows += [(900, "long enough before, too\nLes.", "x", "s", 5), (901, "Les.\n\nLes.", "x", "s", 5)]
+    want = lines_by_hand(rows, 1)
+    assert want[900][2] == 1 and want[901] == ("", 3, 2)
+    for x in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect():
+        assert (x.text, x.n_lines, x.n_dropped) == want[x.doc_id]
