@@ -8,8 +8,13 @@ inclusion odds differ from source to source. u is a hash of the document id, so
 
 The cut is found without sorting a source in one task: ranks fall into bins, words are summed by
 source and bin (combined map-side), running sums over bins give the bin where the cut lies, and
-only that bin's documents are ordered. Documents are taken while they fit; then, a few times, the first
-document in order that fits into what is left and fills at least a third of it.
+only that bin's documents are ordered. From the first document that does not fit, the draw goes on
+along the order and takes every later one that still fits. What is left then is less than any undrawn
+document; the smallest of them is taken too if that brings the source nearer to its target. So a
+source misses its target by half its smallest undrawn document at most.
+
+Of equal sizes the draw takes the first in order, gap / size of them at most. These are all that the
+pass after the cut can take: about gap * log(gap) documents a source, and those in a bin with the last.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
 null id hashes like any value; ties of rank go by id, then size; a source of size 0 has target 0;
@@ -18,17 +23,17 @@ repeated rows are documents of their own; extra columns are kept aside.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relata.llm.common import settle, unused
+from relata.llm.common import prepare, settle, unused
 
 #: Fixed value: a word is a run of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1024
-#: Times that the words left over after the draw are filled up.
-FILLS = 5
 
 
 def words_in(text: Column) -> Column:
@@ -56,8 +61,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: floa
     return s.withColumn("level", F.max(level).over(everything)).select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
+def _fill(rows: pa.Table) -> pa.Table:
+    """Candidates of one source: those that fit are drawn in order, then the smallest if that comes nearer."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("rank", "doc_id", "size")], null_placement="at_start"))
+    gap, sizes = rows["gap"][0].as_py(), rows["size"].to_pylist()
+    extra = [0] * len(sizes)
+    for i, size in enumerate(sizes):
+        if size <= gap:
+            extra[i], gap = 1, gap - size
+    i = min((i for i, x in enumerate(extra) if not x), key=sizes.__getitem__, default=None)
+    if i is not None and sizes[i] < 2 * gap:
+        extra[i] = 1
+    return rows.set_column(rows.schema.get_field_index("extra"), rows.schema.field("extra"), pa.array(extra, pa.int64()))
+
+
 def copies(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row a document: doc_id, size, source_size, target, copies, taken (words the mix takes of it)."""
+    prepare(docs.sparkSession)
     slim = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
     per_source = settle(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
@@ -78,15 +98,18 @@ def copies(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: float
     edge = edge.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") <= F.col("left")).cast("long"))
     rest = marked.where("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when(F.col("cut_bin").isNull(), F.col("p") > 0).otherwise(F.col("bin") < F.col("cut_bin")).cast("long"))
     out = settle(edge.unionByName(rest).drop("cut_bin", "before"), "drawn")
-    for _ in range(FILLS):
-        # what is left of a source takes the first document in order that fits and fills a third of it
-        gaps = out.groupBy("source").agg((F.max("left") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
-        near = out.join(gaps, out.source.eqNullSafe(gaps.source)).select(out["*"], "gap")
-        open_ = near.where((F.col("p") > 0) & (F.col("extra") == 0) & (F.col("size") <= F.col("gap")) & (F.col("size") * 3 >= F.col("gap")) & (F.col("size") > 0))
-        first = settle(open_.groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("next")), "fill")
-        mine = F.struct(out["rank"], out["doc_id"], out["size"])
-        met = out.join(first, out.source.eqNullSafe(first.source), "left")
-        out = met.select(*[out[c] for c in out.columns if c != "extra"], F.when(mine.eqNullSafe(F.col("next")), 1).otherwise(F.col("extra")).cast("long").alias("extra"))
+    gaps = out.where("p > 0").groupBy("source").agg((F.max("left") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
+    near = settle(out.join(gaps, out.source.eqNullSafe(gaps.source), "left").select(out["*"], "gap"), "gaps")
+    open_ = F.coalesce((F.col("p") > 0) & (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")), F.lit(False))
+    per_bin = near.where(open_).groupBy("source", "size", "gap", "bin").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("source", "size").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most BINS rows a size
+    per_bin = per_bin.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # one more of each size than can fit, for the last document
+    last = settle(per_bin.where("before <= floor(gap / size)").groupBy("source", "size").agg(F.max("bin").alias("last")), "last")
+    met = near.join(last, near.source.eqNullSafe(last.source) & (near["size"] == last["size"]), "left").select(near["*"], "last").withColumn("may", F.coalesce(open_ & (F.col("bin") <= F.col("last")), F.lit(False)))
+    met = settle(met.drop("last"), "met")
+    filled = met.where("may").drop("may").groupBy("source").applyInArrow(_fill, near.schema)
+    out = filled.unionByName(met.where("not may").drop("may"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
 
 

@@ -351,6 +351,23 @@ def test_mixing_meets_targets(docs, corpus):
     assert mixed.columns == docs.columns
 
 
+def test_mixing_leaves_no_gap_that_a_document_would_fill(spark, docs, corpus):
+    r = random.Random(4)
+    # long documents at many a cut, and short ones after them
+    long_and_short = [(1000 * s + i, "w " * (4000 if i % 40 == 0 else r.randint(1, 60)), "en", f"src{s}", 1) for s in range(9) for i in range(240)]
+    long_and_short += [(9977, None, None, "src1", None), (9978, "", "en", "src1", 0), *long_and_short[:3]]
+    for rows, table in ((corpus, docs), (long_and_short, spark.createDataFrame(long_and_short, SCHEMA).repartition(4))):
+        source = {d: s for d, _, _, s, _ in rows}
+        for seed in (7, 8):
+            got = mixing.copies(table, seed=seed).collect()
+            assert len(got) == len(rows)
+            for s in set(source.values()):
+                found = [x for x in got if source[x.doc_id] == s]
+                target = found[0].target
+                sizes = [x["size"] for x in found if x["size"] and x.copies <= target / x.source_size]  # undrawn, or drawn as surely as all
+                assert abs(sum(x.taken for x in found) - target) <= min(sizes, default=0) / 2 + 1e-3
+
+
 # --- 7 ---
 
 
