@@ -296,7 +296,10 @@ def store_payloads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Read stored media back: sniff, correct the declared type, decode, and digest payload and medium."""
+    """Read stored media back: sniff, correct the declared type, decode, and digest payload and medium.
+
+    feature ends with the number of media inside the payload (less its padding), and type@start+length of each.
+    """
     prepare(stored.sparkSession, 256)
     slim = stored.select("doc_id", "n_bytes", "declared", "media")
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -305,14 +308,16 @@ def features(stored: DataFrame) -> DataFrame:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
             out = []
-            for declared, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for n, declared, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 media = media_in(data)
                 found = media[0][2] if media and media[0][:2] == (0, len(data)) else UNKNOWN
                 if found != "image/png":
                     raise ValueError("a stored image is damaged")
                 samples = from_png(data)
                 payload = samples.tobytes()
-                text = f"{declared}>{found} {UNIT}x{len(samples)} mean={samples.mean():.4f} distinct={np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256))} embedded={len(media) - 1}"
+                inside = media_in(payload[:n])
+                places = "".join(f" {t}@{a}+{b - a}" for a, b, t in inside)
+                text = f"{declared}>{found} {UNIT}x{len(samples)} mean={samples.mean():.4f} distinct={np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256))} embedded={len(inside)}{places}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), text))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) or [()] * 6

@@ -224,6 +224,16 @@ def test_sniffing_corrects_types_and_carves(spark):
     assert got[2].media_type == got[3].media_type == media.UNKNOWN and not got[2].carved
 
 
+def test_media_inside_texts_are_carved(spark):
+    gif = "GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    pdf = "%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    rows = [(1, f"é {gif} and {pdf}."), (2, pdf), (3, "GIF89a is a name, %PDF-1.4 too"), (4, None)]
+    got = {r.doc_id: r.feature for r in media.features(media.store_payloads(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[1].endswith(f" embedded=2 image/gif@3+{len(gif)} application/pdf@{3 + len(gif) + 5}+{len(pdf)}")
+    assert got[2].endswith(f" embedded=1 application/pdf@0+{len(pdf)}")
+    assert got[3].endswith(" embedded=0") and got[4].endswith(" embedded=0")
+
+
 # --- 4 ---
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
