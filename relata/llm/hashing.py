@@ -1,11 +1,15 @@
-"""Hashes of byte ranges and MinHash signatures, vectorised over a batch of texts."""
+"""Digests of texts, hashes of byte ranges and MinHash signatures, vectorised over a batch of texts.
+
+Only digests (128 bits, cryptographic) may stand for a text. Range hashes are polynomials modulo 2^64,
+for which texts that collide can be built; they find candidates, which are compared as texts after.
+"""
 
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
-import xxhash
 
 U = np.uint64
 _SEED = np.random.default_rng(20240607)
@@ -42,10 +46,11 @@ def points(text: str) -> np.ndarray:
 
 
 class Ranges:
-    """Hashes of any ranges of a sequence of 64-bit integers, each in constant time after one pass."""
+    """Hashes of any ranges of a sequence of 64-bit integers, each in constant time after one pass. For candidates only."""
 
     def __init__(self, values: np.ndarray):
         up, self.down = _powers(len(values) + 1)
+        self.up = up
         self.prefix = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * up[: len(values)], out=self.prefix[1:])
 
@@ -53,6 +58,10 @@ class Ranges:
         """Polynomial hashes, not mixed: a range's is its left part's plus BASE^length times its right part's."""
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
+    def without(self, at: np.ndarray) -> np.ndarray:
+        """Hashes, not mixed, of the whole sequence less the one element at each of these places."""
+        return self.prefix[at] + self.up[at] * ((self.prefix[-1] - self.prefix[at + 1]) * self.down[at + 1])
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64))
 
@@ -62,8 +71,14 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def text_key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+def digests(texts: list[str]) -> list[bytes]:
+    """16 bytes for each text; equal digests mean equal texts."""
+    return [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+
+
+def digest_halves(texts: list[str]) -> np.ndarray:
+    """(texts, 2) digests as pairs of signed 64-bit integers."""
+    return np.frombuffer(b"".join(digests(texts)), dtype="<i8").reshape(-1, 2)
 
 
 def shingles(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray]:

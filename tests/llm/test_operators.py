@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from relata.llm import bpe, common, line_dedup, media, mixing, ngram_join, pii, secrets, token_files, topk, toxicity
+from relata.llm import bpe, common, hashing, line_dedup, media, mixing, ngram_join, pii, secrets, token_files, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use inside.
@@ -85,7 +85,7 @@ def classes_by_hand(corpus):
     return {d: (min(least[find(i)], default=None), len(links[i]), len(by[t])) for i, t in enumerate(texts) for d in by[t]}
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3}, {"block": 3, "large": 2}])
+@pytest.mark.parametrize("options", [{}, {"block": 3}, {"block": 3, "split": 2}])
 def test_ngram_join_finds_all_links(docs, corpus, options):
     want = classes_by_hand(corpus)
     got = ngram_join.similar(docs, **options).collect()
@@ -101,6 +101,62 @@ def test_ngram_join_keeps_one_of_each_class(docs, corpus):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want
 
 
+def thue_morse(n):
+    """Two texts of 2^n characters, different at every place, whose polynomial hashes modulo 2^64 are equal."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_whose_hashes_collide_stay_apart(spark):
+    a, b = thue_morse(10)
+    assert len({int(hashing.Ranges(hashing.POINT[hashing.points(t)])(np.array([0]), np.array([len(t)]))[0]) for t in (a, b)}) == 1
+    p, q = thue_morse(11)
+    rows = [(1, a), (2, b), (3, " ".join([a] * 9)), (4, " ".join([b] * 9)), (5, p), (6, q), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.similar(df).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1} and not any(r.n_links for r in got.values())
+    kept = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()}
+    assert kept == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1}
+
+
+def test_a_collision_does_not_hide_a_later_partner(spark, monkeypatch):
+    """Keys of three bits, so that most earliest partners are collisions."""
+    whole = line_dedup.mix
+    monkeypatch.setattr(line_dedup, "mix", lambda x: whole(x) & np.uint64(7))
+    r = random.Random(6)
+    rows = [(d, "\n".join("".join(r.choice("abcd") for _ in range(r.randint(1, 9))) for _ in range(2)), "x", "s", 5) for d in range(60)]
+    want = lines_by_hand(rows, 1)
+    for x in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (x.text, x.n_lines, x.n_dropped) == want[x.doc_id]
+    lines = sorted({x for _, t, *_ in rows for x in t.split("\n")})
+    assert all(line_dedup.within_one(a, b) == within_one(a, b) for a in lines for b in lines)
+
+
+def test_ngram_recall_of_every_hundredth_document(spark):
+    """Links of all ids divisible by 100 of a generated table, found by brute force against all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, ngram_join.normal(r.text)) for r in docs.collect()]
+    grams = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in {t for _, t in rows} if (w := t.split())}
+    where = defaultdict(list)
+    for t, own in grams.items():
+        for x in own:
+            where[x].append(t)
+    got = {r.doc_id: r for r in ngram_join.similar(docs).collect()}
+    want = found = 0
+    for d, t in rows:
+        if d % 100 == 0 and t:
+            shared = defaultdict(int)
+            for x in grams[t]:
+                for o in where[x]:
+                    shared[o] += 1
+            want += sum(n >= 0.8 * (len(grams[t]) + len(grams[o]) - n) - 1e-9 for o, n in shared.items() if o != t)
+            found += got[d].n_links
+    assert 0.99 * want <= found <= want
+    assert ngram_join.gram_sets(["a b c d e f", "", "x", "b c d e f g", "x", "a b c d e"], 5)[1].size == 0
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(500, i) for i in range(501, 560)] + [(r.randint(1000, 1100), r.randint(1000, 1100)) for _ in range(60)] + [(7, 7), (None, 3)]
@@ -522,6 +578,16 @@ def test_line_dedup_equals_brute_force(spark):
         assert x.n_chars == ((1 if x.doc_id is None else 5) if not x.n_dropped else len(x.text))
 
 
+def test_line_dedup_of_very_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PLACES", 1000)
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh é") for _ in range(30_000)).strip("\n ") + "z"
+    changed = lambda at, new: long[:at] + new + long[at + 1 :]
+    rows = [(1, long), (2, changed(17, "Q")), (3, "a line of its own\n" + changed(29_990, "")), (4, changed(12_345, long[12_345] + "y")), (5, changed(5, "Q")[:-2] + "QQ"), (6, long), (7, "ab " * 400_000 + "c"), (8, "ab " * 400_000 + "d")]
+    got = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1, 7: 0, 8: 1}
+
+
 def test_line_dedup_keeps_columns(docs, corpus):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
