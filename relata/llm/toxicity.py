@@ -4,8 +4,8 @@ A sentence's odds come from the words in it and their beginnings; a document is
 score is the noisy-or 1 - prod(1 - p) of its sentences. Only documents carry labels; gradients pass
 through the noisy-or to the sentences, which are thereby located without labels of their own.
 
-The model is fitted on the driver from a bounded sample of labelled documents (max_docs, taken in
-order of a hash of the id) and holds at most max_words weights. Scoring is a map over whole texts.
+The model is fitted on the driver from a bounded sample of labelled documents (max_docs and max_bytes,
+taken in order of a hash) and holds at most max_words weights. Scoring is a map over whole texts.
 
 Defined results: a null text counts as empty, and an empty text scores 0; labels that are null are
 left out; with no labelled document of either kind all scores are 0; a null id is never held out;
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from relata.llm.common import prepare
 
-MAX_DOCS, MAX_WORDS, MEMORY = 6000, 20_000, 400_000
+MAX_DOCS, MAX_BYTES, MAX_WORDS, MEMORY = 6000, 24_000_000, 20_000, 400_000
 SENTENCE = r"[^.!?\n]+[.!?]*"
 WORD = r"[^\W\d_]+"
 THRESHOLD = 0.3
@@ -147,14 +147,26 @@ def fit(texts: list[str], labels: list[int], *, max_words: int = MAX_WORDS, roun
     return Model(float(bias), {vocabulary[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labelled documents that are not held out. The sample is bounded, so its broadcast is too."""
-    sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    sample = sample.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(max_docs)
+def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on labelled documents that are not held out, in order of a hash of id and text.
+
+    The sample has max_docs documents and max_bytes of text at most, so what is broadcast and what comes
+    to the driver is bounded. Rows with equal id and text count once, an id labelled twice is toxic if
+    any label says so, and documents that share an id take that id's label.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = slim.join(F.broadcast(sample), F.col("id") == F.col("_id")).select("id", "text", F.col("_toxic").alias("toxic"))
-    # rows that repeat an id must not make the sample grow
-    got = sorted(rows.limit(2 * max_docs).collect(), key=lambda r: (r.id, r.text, r.toxic))
+    rows = slim.join(F.broadcast(known), F.col("id") == F.col("_id")).select("id", "text", F.xxhash64("text").alias("tag"), F.col("_toxic").alias("toxic"))
+    sizes = rows.select("id", "tag", F.octet_length("text").alias("bytes")).distinct().orderBy(F.xxhash64("id", "tag"), "id", "tag").limit(max_docs).collect()
+    total = np.cumsum([r["bytes"] for r in sizes])
+    taken = [(r.id, r.tag) for r, n in zip(sizes, total, strict=True) if n <= max_bytes]
+    if not taken:
+        return Model()
+    wanted = docs.sparkSession.createDataFrame(taken, rows.select("id", "tag").schema).toDF("_i", "_t")
+    got = rows.join(F.broadcast(wanted), (F.col("id") == F.col("_i")) & (F.col("tag") == F.col("_t"))).select("id", "text", "toxic").dropDuplicates(["id", "text"])
+    got = sorted(got.collect(), key=lambda r: (r.id, r.text))
     return fit([r.text for r in got], [r.toxic for r in got])
 
 

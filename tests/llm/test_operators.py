@@ -469,6 +469,14 @@ def test_toxicity_learns_from_documents_and_locates_sentences(spark):
     assert kept == {d for d, x in got.items() if not x.predicted}
 
 
+def test_toxicity_sample_is_bounded_and_the_same_again(spark):
+    r = random.Random(4)
+    rows = [(i % 50, " ".join(r.choice(("vilex", "one", "two", "three", "four")) for _ in range(30)) + ".") for i in range(400)]
+    labels = spark.createDataFrame([(i % 50, 0, int(i % 3 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    models = [toxicity.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels, max_docs=40, max_bytes=4000) for x, n in ((rows, 1), (rows[::-1], 7), (rows + rows[:90], 3))]
+    assert models[0] == models[1] == models[2]
+
+
 # --- 8 ---
 
 
