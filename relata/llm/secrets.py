@@ -1,11 +1,15 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in SQL functions.
 
-Lines with a digit, ':' or '=' are searched for runs of at least 12 characters of keys and tokens; a
-run counts as a candidate if it holds a digit or is assigned to a word like "password". For each
-candidate, expressions compute features: length, character transitions, the share covered by a
-dictionary, signs of a path, and the words around it. A random forest of small trees, fitted on
-labelled findings from a generator (example_findings), is turned into CASE expressions, so scanning
-runs in the JVM alone; findings at or above the threshold stay.
+Lines with a digit, ':' or '=' (or a header) are searched for candidates: headers of private keys, passwords in
+URLs, quoted values (of any characters, from 6 up) assigned to a word like "password", and runs of at
+least 12 characters of keys and tokens that hold a digit or follow such a word. For each candidate,
+expressions compute features: length, character transitions, the share covered by a dictionary, signs
+of a path, and the words around it (`context` characters before it, half as many after). A random
+forest of small trees, fitted on labelled findings from a generator (example_findings), is turned into
+CASE expressions, so scanning runs in the JVM alone; findings at or above the threshold stay.
+
+Patterns never go back over a long run, and places come from sums over blocks of gaps, so that very
+long lines cost little more than their length.
 
 The fit is on the driver, over the fixed number of generated findings; their features come from the
 same expressions as those of documents.
@@ -26,8 +30,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{12,}+={0,2}"
-THRESHOLD, TREES, DEPTH = 0.5, 15, 5
+#: Tried in this order at each place: a private key's header, a URL's password, a quoted value, a run.
+CANDIDATE = "|".join((
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    r"(?<=:)(?<=[a-z]://[^\s:/@]{1,40}:)[^\s:/@]{3,80}+(?=@)",
+    r"(?<=[\"'`])(?<=(?i:password|passwd|pwd|secret|token|key|credential)[\"'`]?\s{0,3}[:=]{1,2}\s{0,3}[\"'`])[^\s\"'`]{6,200}+(?=[\"'`])",
+    r"[A-Za-z0-9+/_\-]{12,}+={0,2}",
+))
+THRESHOLD, TREES, DEPTH, CONTEXT = 0.5, 15, 5, 60
+#: Gaps of a line that are summed as one when places are found.
+GAPS = 256
 #: Words that announce a secret, words that announce something harmless, prefixes of
 #: well-known kinds of key, and a dictionary of common parts of names and words.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "key")
@@ -35,7 +47,7 @@ HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest"
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_", "hf_")
 DICTIONARY = ("the", "and", "tion", "ing", "for", "with", "that", "this", "from", "have", "are", "was", "not", "but", "user", "name", "data", "file", "path", "test", "example", "sample", "config", "value", "index", "table", "query", "http", "https", "www", "com", "org", "html", "json", "java", "python", "class", "function", "return", "string", "number", "object", "list", "array", "public", "private", "static", "final", "import", "export", "default", "module", "package", "version", "release", "your", "here", "insert", "change", "replace", "placeholder", "password", "secret", "token", "key", "api", "access", "account", "service", "server", "client", "request", "response", "error", "debug", "info", "log", "en", "er", "st", "ch", "on", "an", "re", "at", "es", "or", "ti", "ed", "th", "nt", "he", "in")
 
-FEATURES = ("length", "digits", "upper", "hex", "changes", "spoken", "distinct", "dictionary", "path", "secret_near", "assigned", "harmless_near", "quoted", "prefix", "placeholder", "uuid", "plain_number", "test_source")
+FEATURES = ("length", "digits", "upper", "hex", "changes", "spoken", "distinct", "dictionary", "path", "secret_near", "assigned", "harmless_near", "quoted", "prefix", "placeholder", "uuid", "plain_number", "test_source", "marks", "pem", "url_login")
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -54,9 +66,9 @@ def _features(c: Column, left: Column, right: Column, source: Column) -> dict[st
         "hex": flag(low.rlike("^[0-9a-f]+$")),
         "changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]"),
         "spoken": F.regexp_count(low, F.lit("(?<=[aeiou])[b-df-hj-np-tv-z]|(?<=[b-df-hj-np-tv-z])[aeiou]")) / n,
-        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
+        "distinct": F.size(F.filter(F.array(*(F.lit(chr(i)) for i in range(33, 127))), lambda x: F.contains(c, x))) / n,
         "dictionary": 1 - F.char_length(F.regexp_replace(low, _any(DICTIONARY), "")) / n,
-        "path": flag(left.rlike(r"(?:https?:|[/\\.~])[^\s]*$") | c.rlike(r"^/|[A-Za-z_\-]{3,}/[A-Za-z_\-]{3,}/") | right.rlike(r"^\.[a-z]{2,4}\b")),
+        "path": flag(left.rlike(r"(?:https?:|[/\\.~])[^\s]*$") | c.rlike(r"^/|(?<![A-Za-z_\-])[A-Za-z_\-]{3,}+/[A-Za-z_\-]{3,}+/") | right.rlike(r"^\.[a-z]{2,4}\b")),
         "secret_near": flag(near.rlike(rf"(?:{_any(SECRET_WORDS)})[^a-z0-9]*(?:[a-z]+[^a-z0-9]+)?$") | near.rlike(rf"(?:{_any(SECRET_WORDS)})\S{{0,3}}\s*[:=]\s*\S?$")),
         "assigned": flag(left.rlike("[:=]\\s*[\"'`]?$")),
         "harmless_near": flag(near.rlike(rf"\b(?:{_any(HARMLESS_WORDS)})[^a-z0-9]*$")),
@@ -65,19 +77,28 @@ def _features(c: Column, left: Column, right: Column, source: Column) -> dict[st
         "placeholder": flag(low.rlike(r"x{4,}|0{6,}|example|sample|changeme|your|placeholder|insert|1234567|abcdef")),
         "uuid": flag(low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
         "plain_number": flag(c.rlike(r"^[0-9\-]+$")),
+        "marks": F.regexp_count(c, F.lit(r"[^A-Za-z0-9]")) / n,
+        "pem": flag(c.rlike("^-----BEGIN ")),
+        "url_login": flag(left.rlike(r"[a-z]://[^\s:/@]{1,40}:$") & right.rlike("^@")),
         "test_source": flag(F.lower(source).rlike("test|example|fixture|sample")),
     }
 
 
-def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:
+def candidates(docs: DataFrame, *, context: int = CONTEXT, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:
     """A row a candidate: doc_id, line, start, end, candidate, left, right (words around it), source."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.lit("")
     lines = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "content"))
-    lines = lines.where(F.col("content").rlike("[0-9:=]"))
+    lines = lines.where(F.col("content").rlike("[0-9:=]|-----BEGIN "))
     hits = lines.withColumn("hits", F.regexp_extract_all("content", F.lit(CANDIDATE), 0)).where(F.size("hits") > 0).withColumn("gaps", F.split("content", CANDIDATE, -1))
-    place = lambda i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice("hits", 1, i), F.lit(0), lambda a, x: a + F.char_length(x))
-    each = F.transform("hits", lambda c, i: F.struct(c.alias("candidate"), i.alias("i"), F.right(F.get("gaps", i), F.lit(60)).alias("left"), F.left(F.get("gaps", i + 1), F.lit(30)).alias("right")))
-    good = F.filter(each, lambda x: x.candidate.rlike("[0-9]") | F.lower(x.left).rlike("(?:password|passwd|pwd|secret|token|key)[\"']?\\s*[:=]\\s*[\"'`]?$"))
+    # where a hit starts: sums of whole blocks of (gap, hit) lengths before it, then of its own block's
+    hits = hits.withColumn("steps", F.transform("hits", lambda c, i: F.char_length(c) + F.char_length(F.get("gaps", i))))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    hits = hits.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.expr(f"(size(hits) - 1) div {GAPS}").cast("int")), lambda k: total(F.slice("steps", k * GAPS + 1, GAPS))))
+    hits = hits.withColumn("before", F.transform("blocks", lambda _, k: total(F.slice("blocks", 1, k))))
+    place = lambda i: F.get("before", F.floor(i / GAPS).cast("int")) + total(F.slice("steps", i - i % GAPS + 1, i % GAPS)) + F.char_length(F.get("gaps", i))
+    each = F.transform("hits", lambda c, i: F.struct(c.alias("candidate"), i.alias("i"), F.right(F.get("gaps", i), F.lit(context)).alias("left"), F.left(F.get("gaps", i + 1), F.lit(context // 2)).alias("right")))
+    announced = rf"(?:{_any(SECRET_WORDS)})[^a-z0-9]{{0,3}}\s*[:=]?\s*[\"'`]?$|://[^\s:/@]{{1,40}}:$"
+    good = F.filter(each, lambda x: x.candidate.rlike("[0-9]|^-----") | F.lower(x.left).rlike(announced))
     placed = F.transform(good, lambda x: F.struct(x.candidate.alias("candidate"), x.left.alias("left"), x.right.alias("right"), place(x.i).alias("start")))
     found = hits.select("doc_id", "line", "source", F.explode(placed).alias("f"))
     return found.select("doc_id", "line", F.col("f.start").alias("start"), (F.col("f.start") + F.char_length("f.candidate")).alias("end"), F.col("f.candidate").alias("candidate"), F.col("f.left").alias("left"), F.col("f.right").alias("right"), "source")
@@ -92,13 +113,26 @@ def example_findings(n: int = 2400, seed: int = 3) -> list[tuple[str, str, int]]
     r = random.Random(seed)
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
-    parts = [w for w in DICTIONARY if len(w) > 1]
+    parts = [w for w in DICTIONARY if len(w) > 1 and w not in SECRET_WORDS]
+    signs = lambda k: "".join(r.choice("ABCDEFGHKMPQRSTXYZabcdefghkmnpqrstxyz23456789!#$%&*+.?@^~") for _ in range(k))
+    login = lambda value: f"{prose()} {r.choice(('postgres', 'https', 'amqp', 'redis', 'mysql'))}://{r.choice(('app', 'root', 'admin', 'svc'))}:{value}@{word()}.com/{word()} {prose()}"
     word = lambda: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 8)))
     out = []
     for _ in range(n // 2):
         key = r.choice(SECRET_WORDS)
         key = r.choice((key, key.upper(), "my_" + key, key + "_id", "client " + key))
+        if (u := r.random()) < 0.06:
+            kind = r.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+            out.append((f"-----BEGIN {kind}PRIVATE KEY-----", r.choice(("src1", "app/config", "web", "tests/unit")), 1))
+            continue
+        if u < 0.14:
+            out.append((login(signs(r.randint(8, 20)).replace("@", "9").replace(":", "7")), r.choice(("src1", "app/config", "web")), 1))
+            continue
+        if u < 0.26:
+            name = r.choice(("password", "passwd", "pwd", "secret", "db_password", "PASSWORD"))
+            out.append((f"{prose()} {name}{r.choice((' = ', '=', ': '))}\"{signs(r.randint(8, 20))}\" {prose()}", r.choice(("src1", "app/config", "web")), 1))
+            continue
         value = r.choice((hexes(r.choice((32, 40, 48, 64))), mixed(r.randint(20, 44)), r.choice(KEY_PREFIXES) + mixed(r.randint(16, 36)), mixed(r.randint(12, 18)) + "-" + mixed(8), mixed(r.choice((22, 42))) + "=="))
         if value.startswith(KEY_PREFIXES) and r.random() < 0.5:
             text = f"{prose()} {value} {prose()}"
@@ -116,6 +150,10 @@ def example_findings(n: int = 2400, seed: int = 3) -> list[tuple[str, str, int]]
             lambda: f"https://{word()}.com/{word()}/{word()}_{r.randint(1, 99)}/{word()}{r.randint(1, 9)}.html",
             lambda: f"{prose()} {word()}_{word()}_{r.randint(1, 2000)}_{word()} {prose()}",
             lambda: f"{word()}{r.randint(1, 99)}{word()}{word()}{r.randint(1, 9)} = {word()}{word()}{r.randint(1, 9)}{word()}",
+            lambda: f"{r.choice(('password', 'secret', 'token', 'key'))} = \"{r.choice(('${PASSWORD}', '<password>', 'required', 'not-set', 'none-given', '{{ secret }}', '********', 'enter password'.replace(' ', '_'), '%(password)s'))}\"",
+            lambda: login(r.choice(("password", "<password>", "${PASS}", "****", "secret", "xxxx", "%s"))),
+            lambda: f"{r.choice(('key', 'auth', 'token', 'secret'))} {word()}{word()}{word()}{word()} {prose()}",
+            lambda: f"{prose()} -----BEGIN PUBLIC KEY----- {hexes(12)}",
             lambda: f"key = {word()}_{word()}_{word()}_{r.randint(1, 9)}",
             lambda: f"data:image/png;base64,{mixed(60)}",
             lambda: f"integrity=sha512-{mixed(60)}==",
