@@ -249,6 +249,21 @@ def test_media_payloads_come_back(docs, corpus):
         assert "image/png" in r.feature and r.media_bytes > 64
 
 
+def crc(data, bits, polynomial):
+    out = 0
+    for byte in data:
+        out ^= byte << (bits - 8)
+        for _ in range(8):
+            out = ((out << 1) ^ polynomial if out >> (bits - 1) else out << 1) & ((1 << bits) - 1)
+    return out
+
+
+def flac_frame(number, body):
+    head = b"\xff\xf8\x19\x08" + bytes([number])
+    head += bytes([crc(head, 8, 0x07)])
+    return head + body + crc(head + body, 16, 0x8005).to_bytes(2, "big")
+
+
 def _samples():
     png = media.to_png(media.pad(b"abc" * 50))
     wav = b"RIFF" + (36 + 8).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\1\0\1\0" + b"\0" * 12 + b"data" + (8).to_bytes(4, "little") + b"\x80" * 8
@@ -264,7 +279,14 @@ def _samples():
     pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
     jpeg = b"\xff\xd8\xff\xe0\0\4\0\0\xff\xda\0\3\1abc\xff\0def\xff\xd9"
     bmp = b"BM" + (58).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + bytes(8) + b"\1\0\x18\0" + bytes(28)
-    return {"image/png": png, "audio/wav": wav, "image/gif": gif, "application/gzip": packed, "application/zip": box.getvalue(), "application/pdf": pdf, "image/jpeg": jpeg, "image/bmp": bmp}
+    webp = b"RIFF" + (4 + 8 + 6).to_bytes(4, "little") + b"WEBPVP8L" + (6).to_bytes(4, "little") + b"/\0\0\0\0\0"
+    page = lambda flags, body: b"OggS\0" + bytes([flags]) + bytes(20) + bytes([1, len(body)]) + body
+    atom = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    mp4 = atom(b"ftyp", b"isom\0\0\2\0isom") + atom(b"moov", atom(b"mvhd", bytes(20))) + atom(b"mdat", b"media" * 9)
+    frames = b"".join(flac_frame(i, bytes([i * 7 + k & 255 for k in range(40 + i)])) for i in range(3))
+    flac = b"fLaC\x80" + (34).to_bytes(3, "big") + (192).to_bytes(2, "big") * 2 + bytes(6) + bytes(4) + (3 * 192).to_bytes(4, "big") + bytes(16) + frames
+    more = {"image/webp": webp, "audio/ogg": page(2, b"first") + page(0, b"body") + page(4, b"last"), "video/mp4": mp4, "audio/flac": flac}
+    return more | {"image/png": png, "audio/wav": wav, "image/gif": gif, "application/gzip": packed, "application/zip": box.getvalue(), "application/pdf": pdf, "image/jpeg": jpeg, "image/bmp": bmp}
 
 
 def test_sniffing_corrects_types_and_carves(spark):
@@ -272,6 +294,7 @@ def test_sniffing_corrects_types_and_carves(spark):
     for kind, data in samples.items():
         assert media.media_in(data) == [(0, len(data), kind)], kind
         assert media.media_in(data[:-3]) == [], kind  # cut off
+        assert media.media_in(data + samples["audio/wav"])[-1][1:] == (len(data) + len(samples["audio/wav"]), "audio/wav"), kind  # nothing is swallowed
         assert media.media_in(b"noise" + data + b"more") == [(5, 5 + len(data), kind)], kind
     both = samples["image/png"] + b"--" + samples["audio/wav"]
     rows = [(1, "image/jpeg", bytearray(both)), (2, "text/plain", bytearray(b"GIF89a is a name, RIFF too, BM")), (3, None, None)]
@@ -281,6 +304,22 @@ def test_sniffing_corrects_types_and_carves(spark):
     assert got[2].media_type == got[3].media_type == media.UNKNOWN and not got[2].carved
 
 
+def test_media_of_every_signature_and_damaged_ones():
+    assert {kind for _, kind, *_ in media.FORMATS} == set(_samples())
+    gif = _samples()["image/gif"]
+    assert media.media_in(b"GIF87a" + gif[6:]) == [(0, len(gif), "image/gif")]
+    header = lambda data: media.PNG_MAGIC + media._chunk(b"IHDR", data)
+    assert media.media_in(header(b"ab") + media._chunk(b"IDAT", b"x") + media._chunk(b"IEND", b"")) == []
+    assert media.media_in(header(bytes([0, 0, 0, 1, 0, 0, 0, 1, 8, 0, 0, 0, 0])) + media._chunk(b"IEND", b"")) == []
+
+
+def test_sniffing_is_linear_on_long_values():
+    start = time.monotonic()
+    for part in (b"%PDF-1.4 ", b"PK\x03\x04", b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1.4 startxref ", b"OggS\0", b"\xff\xd8\xff\xe0\0\4\0\0\xff\xda\0\3\1", b"RIFF\xff\xff\xff\0WAVEfmt ", b"ftyp", b"BM"):
+        media.media_in(part * (10_000_000 // len(part)))
+    assert time.monotonic() - start < 60
+
+
 def test_media_inside_texts_are_carved(spark):
     gif = "GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
     pdf = "%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
