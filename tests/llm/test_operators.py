@@ -419,6 +419,12 @@ def test_top_k_is_exact(spark, monkeypatch, dim, n):
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(want)
 
 
+def test_top_k_refuses_components_that_would_wrap(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [1e17, 1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="16777216 or more"):
+        topk.top_k(df, df.where("vec_id = 0")).collect()
+
+
 # --- 6 ---
 
 
