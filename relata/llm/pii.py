@@ -2,13 +2,17 @@
 
 The patterns give the base spans (email, ip, card, phone). The tagger reads every text in overlapping
 windows of characters: an LSTM in each direction, emissions for five tags (none and the four kinds),
-and transition scores between tags. A window is decoded by Viterbi; where windows overlap, each
-character takes its tag from the window in whose middle it lies, so a text has one run of tags, and
-spans cross window borders. An added span must hold what its kind needs (four parts up to 255, a
-Luhn number, 9 to 15 digits, a name with host and domain), and must not touch a base span.
-
-The tagger is trained in numpy on the driver from labelled spans that training_texts makes by rule:
-usual and disguised forms ("jo at host dot com", "10[.]0[.]0[.]9", "4111.1111...", "555-0100").
+and transition scores between tags. Where windows overlap, each character takes its emissions from the
+window in whose middle it lies; then one Viterbi path over the whole text, as if blanks lay around
+it, reconciles all windows. Parts that hold no tag by proof are left out of the search; the others are
+searched in blocks whose best scores between all pairs of border tags are joined along the text, so a
+text of any length is decoded in bounded memory. An added span must hold what its kind needs (four
+parts up to 255, a Luhn number, 9 to 15 digits, a name with host and domain), and must not touch a
+base span.
+
+The tagger is trained in numpy from labelled spans that training_texts makes by rule: usual and
+disguised forms ("jo at host dot com", "10[.]0[.]0[.]9", "4111.1111...", "555-0100"). Its parameters
+are kept beside this module; `python -m relata.llm.pii` trains them again and writes that file.
 
 Defined results: a null text counts as empty and has no spans; places are code points, end exclusive;
 repeated rows get equal answers; extra columns are not read.
@@ -21,6 +25,8 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,14 @@ from pyspark.sql import functions as F
 from relata.llm.common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, HIDDEN = 160, 128, 8
+WINDOW, STRIDE, HIDDEN = 320, 256, 8
+#: Fixed value: what a mail address may have at most, spelled out or not; longer runs of a tag are none.
+LONGEST = 320
+#: Emissions where there is no text.
+NOTHING = np.array([0.0] + [-1e4] * len(KINDS), dtype=np.float32)
+PARAMETERS = ("x", "u", "out", "bias", "move")
+MARGIN = (WINDOW - STRIDE) // 2
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 FORMAT = [("doc_id", None), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]
 
 # --- base spans -----------------------------------------------------------------------------------
@@ -103,9 +116,11 @@ def training_texts(n: int, seed: int, length: int = 96) -> tuple[list[str], list
     """Texts of `length` characters and their tags, made by rule: prose, harmless numbers, personal data."""
     r = random.Random(seed)
     syllables = "an ba ci do el fu gé hi in jo ka lü mo ne os pa qu ré si tu un vö wa xi yo ze th er ou st ng tion ment keit heit ción".split()
+    plain_letters = str.maketrans("éüöó", "euoo")
     digit = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    plain = lambda: "".join(r.choice(syllables[:12:2] + ["ro", "ne", "si"]) for _ in range(r.randint(1, 3))).replace("é", "e")
+    pair = lambda: r.choice("bcdfghjklmnprstvwz") + r.choice("aeiou") + r.choice(("", "", "l", "n", "r", "s", "x"))
+    plain = lambda: "".join(r.choice(syllables) if r.random() < 0.4 else pair() for _ in range(r.randint(1, 5))).translate(plain_letters)
+    word = lambda: "".join(r.choice(syllables) if own else pair() for own in [r.random() < 0.5] for _ in range(r.randint(1, 4)))
     octets = lambda: [str(r.randint(0, 255)) for _ in range(4)]
 
     def card() -> str:
@@ -114,7 +129,9 @@ def training_texts(n: int, seed: int, length: int = 96) -> tuple[list[str], list
 
     def email() -> str:
         name, host, end = plain() + r.choice(("", "." + plain(), digit(2))), plain() + r.choice(("", digit(1))), r.choice(("com", "org", "net", "de", "example.com"))
-        return r.choice((f"{name}@{host}.{end}", f"{name} at {host} dot {end}", f"{name}[at]{host}[dot]{end}", f"{name} (at) {host}.{end}", f"{name}@{host} dot {end}"))
+        at, dot = r.choice((" at ", " AT ", "[at]", "(at)", " [at] ", " (at) ")), r.choice((" dot ", " DOT ", "[dot]", "(dot)", " [dot] ", "."))
+        spelled = f"{name.replace('.', dot) if r.random() < 0.3 else name}{at}{host}{r.choice(('', '', dot + plain()))}{dot}{end.replace('.', dot)}"
+        return r.choice((f"{name}@{host}.{end}", spelled, spelled, f"{name}@{host} dot {end}"))
 
     def ip() -> str:
         return r.choice((".", ".", "[.]", " . ", "(.)")).join(octets())
@@ -129,7 +146,7 @@ def training_texts(n: int, seed: int, length: int = 96) -> tuple[list[str], list
 
     def harmless() -> str:
         hexes = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 32, 40))))
-        return r.choice((hexes, f'token = "{hexes}"', digit(r.randint(1, 6)), f"{r.randint(1900, 2030)}-{digit(2)}-{digit(2)}", f"{r.randint(0, 9)}.{r.randint(0, 20)}", f"{digit(1)}.{digit(1)}.{digit(2)}", "at the", "dot", word() + r.choice("!?%$#&*") * 3, "| " + word() + " |", f"{digit(2)}:{digit(2)}:{digit(2)}", f"CC BY {digit(1)}.{digit(1)}", f"# {digit(3)}", digit(24), f"f({digit(1)}, {digit(2)})"))
+        return r.choice((hexes, f'token = "{hexes}"', digit(r.randint(1, 6)), f"{r.randint(1900, 2030)}-{digit(2)}-{digit(2)}", f"{r.randint(0, 9)}.{r.randint(0, 20)}", f"{digit(1)}.{digit(1)}.{digit(2)}", "at the", "dot", f"{word()} at {word()}", f"dot {word()}", f"at {word()}", word() + r.choice("!?%$#&*") * 3, "| " + word() + " |", f"{digit(2)}:{digit(2)}:{digit(2)}", f"CC BY {digit(1)}.{digit(1)}", f"# {digit(3)}", digit(24), f"f({digit(1)}, {digit(2)})"))
 
     makers = (email, ip, number, phone)
     texts, tags = [], []
@@ -198,9 +215,10 @@ class Tagger:
     def parameters(self) -> list[np.ndarray]:
         return [self.x, self.u, self.out, self.bias, self.move]
 
-    def emissions(self, c: np.ndarray) -> np.ndarray:
-        """(T, B, K) scores of windows c (B, T)."""
+    def emissions(self, c: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(T, B, K) scores of windows c (B, T), of which so many characters count; none is sure beyond them."""
         b, t = c.shape
+        shortest = int(lengths.min())
         n = self.h
         c = np.ascontiguousarray(c.T)
         h, s = np.zeros((2, b, n), dtype=np.float32), np.zeros((2, b, n), dtype=np.float32)
@@ -209,6 +227,10 @@ class Tagger:
         for i in range(t):
             np.take(self.x[0], c[i], axis=0, out=w[0], mode="clip")
             np.take(self.x[1], c[t - 1 - i], axis=0, out=w[1], mode="clip")
+            if t - i >= shortest:  # the way back starts at the window's last character
+                beyond = lengths <= t - i
+                h[1, beyond] = 0
+                s[1, beyond] = 0
             np.matmul(h, self.u, out=z)
             z += w
             np.tanh(z, out=z)
@@ -223,74 +245,110 @@ class Tagger:
             np.matmul(h[1], self.out[1], out=e[1, t - 1 - i])
         e[0] += e[1]
         e[0] += self.bias
+        beyond = np.arange(shortest, t)[:, None] >= lengths
+        e[0, shortest:][beyond] = NOTHING
         return e[0]
 
-    def hopeful(self, e: np.ndarray) -> np.ndarray:
-        """Windows in which some path may beat all-none, by an upper bound.
+    def loud(self, e: np.ndarray) -> np.ndarray:
+        """Which blocks (T, B, K) the best path of their text may tag, by an upper bound.
 
-        A run of other tags gains at most its best emissions over none, and for each step within it the
-        best transition; it pays for entering and leaving but at a window's ends. Best runs are found
-        from prefix sums; if none gains anything, neither do several.
+        A run of other tags gains at most its best emissions over none, and for each step the best
+        transition over none's; it pays for entering and leaving. Best runs come from prefix sums. In a
+        block where no run gains anything, neither within it nor as the beginning or the end of a run
+        that crosses its border, and none that covers it gains more than its two borders cost, any
+        path is no worse with none in that block.
         """
         rest = self.move[0, 0]
-        stay, enter, leave = float(self.move[1:, 1:].max() - rest), float(self.move[0, 1:].max() - rest), float(self.move[1:, 0].max() - rest)
+        stay, into, out = float(self.move[1:, 1:].max() - rest), self.move[0, 1:] - rest, self.move[1:, 0] - rest
+        enter, leave = float(into.max()), float(out.max())
         best = e[:, :, 1]
         for k in range(2, self.K):
             best = np.maximum(best, e[:, :, k])
         total = best - e[:, :, 0]
         total += np.float32(stay)
         np.cumsum(total, axis=0, out=total)
-        least = np.minimum.accumulate(total, axis=0)
-        inside = (total[1:] - least[:-1]).max(axis=0)
-        gains = (inside + enter + leave, total.max(axis=0) + leave, total[-1] - least[-2] + enter, total[-1])
-        return np.flatnonzero(np.maximum.reduce(gains) - stay >= -1e-2)
-
-    def decode(self, e: np.ndarray) -> np.ndarray:
-        """Viterbi tags (T, B). Windows in which no path can beat all-none are not searched."""
+        least = np.minimum(np.minimum.accumulate(total, axis=0), 0)
+        inside = np.maximum((total[1:] - least[:-1]).max(axis=0), total[0]) + enter + leave - stay
+        first = total.max(axis=0) + (leave - float(out.min()))
+        last = total[-1] - np.minimum(total[:-1].min(axis=0), 0) + (enter - float(into.min()))
+        whole = total[-1] + (stay - float(into.min()) - float(out.min()))
+        return np.maximum.reduce([inside, first, last, whole]) >= -1e-2
+
+    def paths(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores of blocks (T, B, K) from each tag before to each tag at the end, (B, K, K), and their back pointers (T, K, K, B)."""
         t, b, k = e.shape
-        tags = np.zeros((t, b), dtype=np.int8)
-        open_ = self.hopeful(e)
-        if not len(open_):
-            return tags
-        e = np.ascontiguousarray(e[:, open_].transpose(0, 2, 1))
-        back = np.zeros((t, k, len(open_)), dtype=np.int8)
-        best = e[0].copy()
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        back = np.zeros((t, k, k, b), dtype=np.int8)  # place, tag before the block, tag, block
+        best = self.move[:, :, None] + e[0][None]
         for i in range(1, t):
-            top = best[0] + self.move[0][:, None]
+            top = best[:, :1] + self.move[0][None, :, None]
             for j in range(1, k):
-                path = best[j] + self.move[j][:, None]
+                path = best[:, j : j + 1] + self.move[j][None, :, None]
                 back[i][path > top] = j
                 np.maximum(top, path, out=top)
-            best = top + e[i]
-        own, at = best.argmax(axis=0), np.arange(len(open_))
-        found = np.zeros((t, len(open_)), dtype=np.int8)
+            best = top + e[i][None]
+        return best.transpose(2, 0, 1), back
+
+    def decode(self, blocks: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Viterbi tags (T, B) of blocks (T, B, K). follows: which blocks go on from the one before them; other runs lie between blanks."""
+        scores, back = self.paths(blocks)
+        t, n, k = blocks.shape
+        came, best = np.zeros((n, k), dtype=np.int8), np.zeros((n, k), dtype=np.float32)
+        for i in range(n):
+            if follows[i]:
+                path = best[i - 1][:, None] + scores[i]
+                came[i], best[i] = path.argmax(axis=0), path.max(axis=0)
+            else:
+                best[i] = scores[i, 0]
+        before, own = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for i in range(n - 1, -1, -1):
+            goes_on = i + 1 < n and follows[i + 1]
+            own[i] = before[i + 1] if goes_on else (best[i] + self.move[:, 0]).argmax()
+            before[i] = came[i, own[i]] if follows[i] else 0
+        tags, at, now = np.zeros((t, n), dtype=np.int8), np.arange(n), own
         for i in range(t - 1, -1, -1):
-            found[i] = own
-            own = back[i, own, at]
-        tags[:, open_] = found
+            tags[i] = now
+            if i:
+                now = back[i, before, now, at]
         return tags
 
-    def tag(self, texts: list[str], block: int = 1024) -> Iterator[np.ndarray]:
-        """Tags of each text's characters."""
+    def tag(self, texts: list[str], block: int = 512) -> Iterator[np.ndarray]:
+        """Tags of each text's characters.
+
+        A text is cut into cells: MARGIN characters that only its first window centres, STRIDE characters for
+        each window, and the last window's end. Cells that may hold tags are kept, filled up to STRIDE.
+        """
         codes = [classes_of(t) for t in texts]
-        first, windows = [], []
-        margin = (WINDOW - STRIDE) // 2
-        for c in codes:
-            n = max(1, -(-(len(c) - WINDOW) // STRIDE) + 1) if len(c) else 0
-            first.append(len(windows))
-            padded = np.full(WINDOW + STRIDE * max(0, n - 1), 32, dtype=np.uint8)
-            padded[: len(c)] = c
-            windows += [padded[STRIDE * i : STRIDE * i + WINDOW] for i in range(n)]
-        first.append(len(windows))
-        tags = [self.decode(self.emissions(np.stack(windows[i : i + block]))) for i in range(0, len(windows), block)]
-        tags = np.concatenate(tags, axis=1).T if tags else np.zeros((0, WINDOW), dtype=np.int8)
-        for c, a, b in zip(codes, first[:-1], first[1:], strict=True):
-            if b - a == 1:
-                yield tags[a, : len(c)]
-            elif b > a:
-                yield np.concatenate([tags[a, : WINDOW - margin], tags[a + 1 : b - 1, margin : WINDOW - margin].reshape(-1), tags[b - 1, margin:]])[: len(c)]
-            else:
-                yield np.zeros(0, dtype=np.int8)
+        counts = [max(1, -(-(len(c) - WINDOW) // STRIDE) + 1) if len(c) else 0 for c in codes]
+        windows = ((i, j, n, c[STRIDE * j : STRIDE * j + WINDOW]) for i, (c, n) in enumerate(zip(codes, counts, strict=True)) for j in range(n))
+        cells: list[tuple[int, int, int, np.ndarray]] = []  # text, start, offset in the cell, emissions
+        while part := list(islice(windows, block)):
+            packed = np.full((len(part), WINDOW), 32, dtype=np.uint8)
+            for r, (_, _, _, c) in enumerate(part):
+                packed[r, : len(c)] = c
+            e = self.emissions(packed, np.array([len(x[3]) for x in part]))
+            text, at = np.array([x[0] for x in part]), np.array([x[1] for x in part])
+            ends = np.array([x[1] == x[2] - 1 for x in part])
+            for low, high, which in ((0, MARGIN, np.flatnonzero(at == 0)), (MARGIN, MARGIN + STRIDE, np.arange(len(part))), (MARGIN + STRIDE, WINDOW, np.flatnonzero(ends))):
+                for r in which[self.loud(e[low:high, which])].tolist() if len(which) else ():
+                    cells.append((int(text[r]), STRIDE * int(at[r]) + low, 0 if low else STRIDE - MARGIN, e[low:high, r].copy()))
+        tags = [np.zeros(len(c), dtype=np.int8) for c in codes]
+        if cells:
+            cells.sort(key=lambda x: x[:2])
+            full = np.broadcast_to(NOTHING, (STRIDE, len(cells), self.K)).copy()
+            for r, (_, _, offset, e) in enumerate(cells):
+                full[offset : offset + len(e), r] = e
+            follows = np.array([r > 0 and cells[r - 1][0] == i and cells[r - 1][1] + len(cells[r - 1][3]) == at for r, (i, at, _, _) in enumerate(cells)])
+            # runs of cells are decoded together, some at a time
+            starts = [*np.flatnonzero(~follows).tolist(), len(cells)]
+            a = 0
+            for b, c in zip(starts[1:], [*starts[2:], None], strict=True):
+                if c is None or c - a > block:
+                    for (i, at, offset, e), own in zip(cells[a:b], self.decode(full[:, a:b], follows[a:b]).T, strict=True):
+                        n = max(0, min(len(e), len(tags[i]) - at))
+                        tags[i][at : at + n] = own[offset : offset + n]
+                    a = b
+        yield from tags
 
     # --- training ---
 
@@ -355,7 +413,7 @@ class Tagger:
         return float((total - gold).mean()), [dx, du, dout, de.sum(axis=(0, 1)), dmove]
 
 
-def fit(steps: int = 500, batch: int = 64, length: int = 96, seed: int = 4, rate: float = 0.02) -> Tagger:
+def fit(steps: int = 2000, batch: int = 64, length: int = 128, seed: int = 4, rate: float = 0.02) -> Tagger:
     """Adam on fresh batches of training_texts; the step falls to a tenth over the run."""
     tagger = Tagger(seed)
     first = [np.zeros_like(p) for p in tagger.parameters()]
@@ -377,8 +435,13 @@ def fit(steps: int = 500, batch: int = 64, length: int = 96, seed: int = 4, rate
 
 @lru_cache(maxsize=1)
 def default_tagger() -> Tagger:
-    """Trained once in a process."""
-    return fit()
+    """The tagger whose parameters are kept beside this module; trained now where the file is missing."""
+    if not WEIGHTS.exists():
+        return fit()
+    tagger = Tagger()
+    with np.load(WEIGHTS) as kept:
+        tagger.x, tagger.u, tagger.out, tagger.bias, tagger.move = (kept[n] for n in PARAMETERS)
+    return tagger
 
 
 # --- spans ----------------------------------------------------------------------------------------
@@ -386,6 +449,10 @@ def default_tagger() -> Tagger:
 _AT_WORD, _DOT_WORD = re.compile(r"@|\bat\b|[\[(]at[\])]", re.I), re.compile(r"\.|\bdot\b", re.I)
 
 
+#: The one word before an address's "at", which may be spelled with "dot".
+_NAME = re.compile(r"[^\s@\[\]()]++(?:(?:\s++dot\s++|\s*+[\[(]dot[\])]\s*+)[^\s@\[\]()]++)*+\s*+$", re.I)
+
+
 def _sound(kind: int, text: str) -> bool:
     digits = _digits(text)
     if kind == 0:
@@ -414,6 +481,10 @@ def added_spans(text: str, tags: np.ndarray, base: list[list[tuple[int, int]]])
             a += 1
         while b > a and not (text[b - 1].isalnum() if kind == 0 else "0" <= text[b - 1] <= "9"):
             b -= 1
+        if b - a > LONGEST:
+            continue
+        if kind == 0 and (at := _AT_WORD.search(text, a, b)) and (name := _NAME.search(text, a, at.start())):
+            a = name.start() + len(name[0]) - len(name[0].lstrip("."))
         # a number or word that goes on beyond the run is another thing
         if b > a and not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum()) and not any(s < b and a < e for s, e in taken) and _sound(kind, text[a:b]):
             out[kind].append((a, b))
@@ -442,3 +513,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None, *, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, FORMAT[1:], strict=True))], [n for n, _ in FORMAT])
 
     return slim.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **dict(zip(PARAMETERS, fit().parameters(), strict=True)))

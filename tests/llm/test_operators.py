@@ -397,6 +397,69 @@ def test_tagger_learns_and_windows_agree(docs, corpus):
         assert set(filter(None, listed.split(","))) <= set(by[d].spans.split(","))
 
 
+def spans_of(tags):
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0])).astype(int)))
+    return {(a, b, int(tags[a])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if tags[a]}
+
+
+def test_the_kept_tagger_is_what_training_gives():
+    kept, short = pii.default_tagger(), pii.fit(steps=2)
+    assert pii.WEIGHTS.exists() and [p.shape for p in kept.parameters()] == [p.shape for p in short.parameters()]
+    found = wanted = right = 0
+    for text, tags, got in zip(*(made := pii.training_texts(400, 77, 300)), kept.tag(made[0]), strict=True):
+        want, have = spans_of(np.array(tags)), {s for s in spans_of(got) if pii._sound(s[2] - 1, text[s[0] : s[1]])}
+        want = {s for s in want if pii._sound(s[2] - 1, text[s[0] : s[1]])}
+        found, wanted, right = found + len(have), wanted + len(want), right + len(want & have)
+    assert right / found > 0.9 and right / wanted > 0.85  # spans of held-out texts, exact to the character
+
+
+def test_decoding_equals_one_viterbi_over_the_whole_text():
+    tagger = pii.default_tagger()
+    r = random.Random(5)
+    parts, _ = pii.training_texts(60, 31, 90)
+    texts = ["".join(r.choice(parts) if r.random() < 0.4 else "plain words of no kind " * r.randint(1, 30) for _ in range(r.randint(1, 12))) for _ in range(25)] + ["", "x", "4111 1111 1111 1111", "1-2 " * 700]
+    for text, got in zip(texts, tagger.tag(texts, block=7), strict=True):
+        c = pii.classes_of(text)
+        n = max(1, -(-(len(c) - pii.WINDOW) // pii.STRIDE) + 1)
+        e = np.zeros((0, tagger.K))
+        for j in range(n):
+            part = np.full(pii.WINDOW, 32, dtype=np.uint8)
+            own = c[pii.STRIDE * j : pii.STRIDE * j + pii.WINDOW]
+            part[: len(own)] = own
+            e = np.concatenate([e, tagger.emissions(part[None], np.array([len(own)]))[:, 0][len(e) - pii.STRIDE * j : pii.WINDOW - (pii.MARGIN if j < n - 1 else 0)]])
+        blank = np.array([0.0] + [-1e4] * (tagger.K - 1))
+        e = np.concatenate([[blank], e.astype(float), [blank]])
+        score = lambda tags: e[np.arange(len(e)), tags].sum() + tagger.move[tags[:-1], tags[1:]].sum()
+        best, back = e[0].copy(), []
+        for x in e[1:]:
+            path = best[:, None] + tagger.move
+            back.append(path.argmax(axis=0))
+            best = path.max(axis=0) + x
+        own = [int(best.argmax())]
+        for b in back[::-1]:
+            own.append(int(b[own[-1]]))
+        padded = np.zeros(len(e), dtype=int)
+        padded[1 : 1 + len(got)] = got
+        assert score(padded) >= score(np.array(own[::-1])) - 2e-2
+
+
+def test_a_long_disguised_address_at_every_offset():
+    tagger = pii.default_tagger()
+    address = "maximilien.robelinsone at firmadocudelfu dot example dot com"
+    found = 0
+    for at in range(0, 2 * pii.STRIDE, 3):
+        text = ("quiet words and more of them " * 40)[:at] + " " + address + " " + "and then some others came " * 20
+        spans = pii.added_spans(text, next(iter(tagger.tag([text]))), pii.base_spans(text))[0]
+        found += (at + 1, at + 1 + len(address)) in spans
+    assert found / len(range(0, 2 * pii.STRIDE, 3)) > 0.95
+    start = time.monotonic()
+    long = "dotdot" * 400_000 + " foo at " + "[dot]" * 100_000 + " at bar dot com " + "1-2 " * 200_000
+    for text, tags in zip([long], tagger.tag([long]), strict=True):
+        pii.added_spans(text, tags, pii.base_spans(text))
+        pii.added_spans(text, np.ones(len(text), dtype=np.int8), pii.base_spans(text))
+    assert time.monotonic() - start < 60
+
+
 # --- 5 ---
 
 
