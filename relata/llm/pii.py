@@ -249,14 +249,15 @@ class Tagger:
         e[0, shortest:][beyond] = NOTHING
         return e[0]
 
-    def loud(self, e: np.ndarray) -> np.ndarray:
-        """Which blocks (T, B, K) the best path of their text may tag, by an upper bound.
+    def hot(self, e: np.ndarray) -> np.ndarray:
+        """Which cells (T, B, K) may pay for a run of tags, by an upper bound.
 
         A run of other tags gains at most its best emissions over none, and for each step the best
-        transition over none's; it pays for entering and leaving. Best runs come from prefix sums. In a
-        block where no run gains anything, neither within it nor as the beginning or the end of a run
-        that crosses its border, and none that covers it gains more than its two borders cost, any
-        path is no worse with none in that block.
+        transition over none's; it pays for entering and leaving in the cells where it does. Best
+        parts of runs come from prefix sums. A run that gains has a cell where its part does, so it
+        touches a hot cell. A cell that a run may cover from border to border is hot too; in any other,
+        the best path has a none, as two more borders would cost less. So the best path is found in hot
+        cells and their neighbours, with none around them.
         """
         rest = self.move[0, 0]
         stay, into, out = float(self.move[1:, 1:].max() - rest), self.move[0, 1:] - rest, self.move[1:, 0] - rest
@@ -269,17 +270,16 @@ class Tagger:
         np.cumsum(total, axis=0, out=total)
         least = np.minimum(np.minimum.accumulate(total, axis=0), 0)
         inside = np.maximum((total[1:] - least[:-1]).max(axis=0), total[0]) + enter + leave - stay
-        first = total.max(axis=0) + (leave - float(out.min()))
-        last = total[-1] - np.minimum(total[:-1].min(axis=0), 0) + (enter - float(into.min()))
-        whole = total[-1] + (stay - float(into.min()) - float(out.min()))
+        first, last = total.max(axis=0) + leave, total[-1] - least[-2] + enter - stay
+        whole = total[-1] + np.float32(stay - min(0.0, float(into.min()) + float(out.min())))
         return np.maximum.reduce([inside, first, last, whole]) >= -1e-2
 
-    def paths(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best scores of blocks (T, B, K) from each tag before to each tag at the end, (B, K, K), and their back pointers (T, K, K, B)."""
+    def paths(self, e: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores of blocks (T, B, K) from the first tags before them to each tag at the end, (B, before, K), and their back pointers (T, before, K, B)."""
         t, b, k = e.shape
         e = np.ascontiguousarray(e.transpose(0, 2, 1))
-        back = np.zeros((t, k, k, b), dtype=np.int8)  # place, tag before the block, tag, block
-        best = self.move[:, :, None] + e[0][None]
+        back = np.zeros((t, before, k, b), dtype=np.int8)
+        best = self.move[:before, :, None] + e[0][None]
         for i in range(1, t):
             top = best[:, :1] + self.move[0][None, :, None]
             for j in range(1, k):
@@ -291,50 +291,68 @@ class Tagger:
 
     def decode(self, blocks: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Viterbi tags (T, B) of blocks (T, B, K). follows: which blocks go on from the one before them; other runs lie between blanks."""
-        scores, back = self.paths(blocks)
         t, n, k = blocks.shape
+        # a block that begins a run comes after none, others after any tag
+        groups = [(np.flatnonzero(~follows), 1), (np.flatnonzero(follows), k)]
+        found = [self.paths(blocks[:, rows], m) if len(rows) else None for rows, m in groups]
+        place = np.where(follows, np.cumsum(follows), np.cumsum(~follows)) - 1
         came, best = np.zeros((n, k), dtype=np.int8), np.zeros((n, k), dtype=np.float32)
         for i in range(n):
             if follows[i]:
-                path = best[i - 1][:, None] + scores[i]
+                path = best[i - 1][:, None] + found[1][0][place[i]]
                 came[i], best[i] = path.argmax(axis=0), path.max(axis=0)
             else:
-                best[i] = scores[i, 0]
+                best[i] = found[0][0][place[i], 0]
         before, own = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for i in range(n - 1, -1, -1):
             goes_on = i + 1 < n and follows[i + 1]
             own[i] = before[i + 1] if goes_on else (best[i] + self.move[:, 0]).argmax()
             before[i] = came[i, own[i]] if follows[i] else 0
-        tags, at, now = np.zeros((t, n), dtype=np.int8), np.arange(n), own
-        for i in range(t - 1, -1, -1):
-            tags[i] = now
-            if i:
-                now = back[i, before, now, at]
+        tags = np.zeros((t, n), dtype=np.int8)
+        for (rows, _), got in zip(groups, found, strict=True):
+            if got is None:
+                continue
+            now, first, at = own[rows], before[rows], np.arange(len(rows))
+            for i in range(t - 1, -1, -1):
+                tags[i, rows] = now
+                now = got[1][i, first, now, at]
         return tags
 
-    def tag(self, texts: list[str], block: int = 512) -> Iterator[np.ndarray]:
+    def tag(self, texts: list[str], block: int = 1024) -> Iterator[np.ndarray]:
         """Tags of each text's characters.
 
         A text is cut into cells: MARGIN characters that only its first window centres, STRIDE characters for
-        each window, and the last window's end. Cells that may hold tags are kept, filled up to STRIDE.
+        each window, and the last window's end. Hot cells and their neighbours are kept, filled up to STRIDE.
         """
         codes = [classes_of(t) for t in texts]
         counts = [max(1, -(-(len(c) - WINDOW) // STRIDE) + 1) if len(c) else 0 for c in codes]
         windows = ((i, j, n, c[STRIDE * j : STRIDE * j + WINDOW]) for i, (c, n) in enumerate(zip(codes, counts, strict=True)) for j in range(n))
         cells: list[tuple[int, int, int, np.ndarray]] = []  # text, start, offset in the cell, emissions
+        behind, was_hot, kept = None, False, False  # the cell before, whether it is hot, and whether it is in cells
+
+        def keep(cell: tuple[int, int, int, np.ndarray]) -> None:
+            cells.append((*cell[:3], cell[3].copy()))
+
         while part := list(islice(windows, block)):
             packed = np.full((len(part), WINDOW), 32, dtype=np.uint8)
             for r, (_, _, _, c) in enumerate(part):
                 packed[r, : len(c)] = c
             e = self.emissions(packed, np.array([len(x[3]) for x in part]))
-            text, at = np.array([x[0] for x in part]), np.array([x[1] for x in part])
-            ends = np.array([x[1] == x[2] - 1 for x in part])
-            for low, high, which in ((0, MARGIN, np.flatnonzero(at == 0)), (MARGIN, MARGIN + STRIDE, np.arange(len(part))), (MARGIN + STRIDE, WINDOW, np.flatnonzero(ends))):
-                for r in which[self.loud(e[low:high, which])].tolist() if len(which) else ():
-                    cells.append((int(text[r]), STRIDE * int(at[r]) + low, 0 if low else STRIDE - MARGIN, e[low:high, r].copy()))
+            bounds = ((0, MARGIN), (MARGIN, MARGIN + STRIDE), (MARGIN + STRIDE, WINDOW))
+            hot = [self.hot(e[low:high]).tolist() for low, high in bounds]
+            for r, (i, j, n, _) in enumerate(part):
+                for which in range(0 if j == 0 else 1, 3 if j == n - 1 else 2):
+                    low, high = bounds[which]
+                    cell, is_hot = (i, STRIDE * j + low, 0 if low else STRIDE - MARGIN, e[low:high, r]), hot[which][r]
+                    beside = behind is not None and behind[0] == i
+                    if is_hot and beside and not kept:
+                        keep(behind)
+                    kept = is_hot or (beside and was_hot)
+                    if kept:
+                        keep(cell)
+                    behind, was_hot = cell, is_hot
         tags = [np.zeros(len(c), dtype=np.int8) for c in codes]
         if cells:
-            cells.sort(key=lambda x: x[:2])
             full = np.broadcast_to(NOTHING, (STRIDE, len(cells), self.K)).copy()
             for r, (_, _, offset, e) in enumerate(cells):
                 full[offset : offset + len(e), r] = e
