@@ -22,15 +22,38 @@ class Session:
         self.lines: list[str] = []
         self.store = store
         self.interp = Interp(spark, source_path, self.lines.append)
+        self.loaded = False
+        self.interp.opened = self._open
         if load and store:
-            catalog.load(self.interp, store)
+            self._open({"load"})
+
+    def _open(self, options: set[str]) -> None:
+        """The store's names come in with #catalog load or update, but with new the catalog starts empty."""
+        if self.store and not self.loaded and "new" not in options and options & {"load", "update"} and catalog.exists(self.store):
+            self.loaded = True
+            catalog.load(self.interp, self.store)
 
     # --- scripts ---
 
     def run_script(self, text: str, filename: str = "", write: Callable[[str], None] | None = None) -> str:
-        """Runs a program and returns what it printed; saves the catalog at the end if the program asks for update."""
+        """Runs a program and returns what it printed; saves the catalog at the end if the program asks for update.
+
+        A program that fails leaves names, types and the stored catalog as they were.
+        """
         start = len(self.lines)
-        self.interp.run(text, filename)
+        names, types = self.interp.globals.names, self.interp.types
+        before = {n: (b, b.value) for n, b in names.items()}, dict(types)
+        try:
+            self.interp.run(text, filename)
+        except Exception:
+            # a program takes effect as a whole: relvars are never changed in place, so names are all there is to restore
+            names.clear()
+            for n, (b, value) in before[0].items():
+                b.value = value
+                names[n] = b
+            types.clear()
+            types.update(before[1])
+            raise
         if "update" in self.interp.options and self.store:
             catalog.save(self.interp, self.store)
         out = "\n".join(self.lines[start:])

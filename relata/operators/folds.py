@@ -58,12 +58,19 @@ def aggregate(op: object, c: Column, t: T.DataType, keys: list[Column] | None =
         return F.sum(c.cast("int")) % 2 == 1
     if op == "union":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    if op == "symdiff":
-        every = F.flatten(F.collect_list(c))
-        return F.array_sort(F.filter(F.array_distinct(every), lambda x: F.size(F.filter(every, lambda y: y == x)) % 2 == 1))
-    if op == "intersect":
+    if op == "symdiff":  # tuples that an odd number of relations hold: equal ones lie side by side once sorted
+        every = F.array_sort(F.flatten(F.collect_list(c)))
+        ends = F.filter(F.sequence(F.lit(0), F.size(every)), lambda i: (i == 0) | (i == F.size(every)) | ~F.get(every, i).eqNullSafe(F.get(every, i - 1)))
+        odd = F.filter(F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda a, k: F.struct(a.alias("at"), (F.get(ends, k + 1) - a).alias("n"))), lambda x: x.n % 2 == 1)
+        return F.transform(odd, lambda x: F.get(every, x["at"]))
+    if op in ("intersect", "join", "compose"):
+        # all relations of an attribute have one heading: a natural join of them is what they share, and composing removes what is shared
         lists = F.collect_list(c)
-        return F.array_sort(F.filter(F.array_distinct(F.flatten(lists)), lambda x: F.forall(lists, lambda own: F.array_contains(own, x))))
+        if op == "compose":
+            raise RelationError("compose leaves no attributes of relations with one heading")
+        counted = F.array_sort(F.flatten(lists))  # tuples are distinct within a relation, so one in all of them is there as often as there are relations
+        n = F.size(lists)
+        return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), F.size(counted) - n), lambda i: F.get(counted, i).isNotNull() & F.get(counted, i).eqNullSafe(F.get(counted, i + n - 1))), lambda i: F.get(counted, i)))
     if op == "minus":
         return F.slice(F.first(c), 1, 0)
     raise RelationError(f"{op} does not fold")

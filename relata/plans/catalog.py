@@ -101,6 +101,11 @@ def _tag(t: object) -> object:
     return t if isinstance(t, str) else (t[0], {k: _tag(x) for k, x in t[1].items()} if isinstance(t[1], dict) else t[1])
 
 
+def exists(folder: str) -> bool:
+    store, base = fs.FileSystem.from_uri(folder)
+    return store.get_file_info(f"{base}/catalog.json").type == fs.FileType.File
+
+
 def load(interp, folder: str) -> None:
     from relata.plans.interp import Binding
 

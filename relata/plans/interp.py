@@ -32,7 +32,7 @@ COMPARES = {"sub": "subset", "sup": "superset", "sep": "separate"}
 ALIASES = {"matching": "semijoin", "notmatching": "ajoin", "joinlr": "compose", "joinlc": "semijoin", "joinl": "divide", "joincr": "rsemijoin", "joinr": "rdivide"}
 WINDOWS = {"lag", "lead", "nth", "rank", "ord", "ordg"}
 SIMPLE_TYPES = {"bool", "number", "text", "time", "date", "binary"}
-FOLDS = {"+", "-", "*", "/", "&", "max", "min", "and", "or", "xor", "union", "intersect", "minus", "symdiff"}
+FOLDS = {"+", "-", "*", "/", "&", "max", "min", "and", "or", "xor", "union", "intersect", "minus", "symdiff", "join", "compose"}
 
 
 @dataclass
@@ -113,7 +113,9 @@ class Interp:
         self.types: dict[str, list[tuple[str, object]]] = {}
         self.options: set[str] = set()
         self.stopped = False
-        self.depth = 0
+        self.depth = self.noisy = 0
+        #: Called by #catalog with all options so far; a session loads its store there.
+        self.opened: Callable[[set[str]], None] | None = None
 
     # --- programs ---
 
@@ -167,6 +169,10 @@ class Interp:
             raise RelationError("panic")
         elif name == "catalog":
             self.options |= set(rest.split())
+            if self.opened is not None:
+                self.opened(self.options)
+        elif name == "noisy":
+            self.noisy = int(rest or 1)
 
     def assign(self, name: str, value: object, scope: Scope, variable: bool, source: str = "") -> None:
         if isinstance(value, OpenRelation):
@@ -281,7 +287,7 @@ class Interp:
         a, b = self.value(node[2], scope), self.value(node[3], scope)
         if isinstance(a, Relation | OpenRelation) or isinstance(b, Relation | OpenRelation):
             row = self.row_scope(scope)
-            one, other = self.opened(a, scope), self.opened(b, scope)
+            one, other = self.beside(a, scope), self.beside(b, scope)
             outer = RowScope(row.parent, frame=one.relation, alias={n: (row.outer_name(n), t) for n, t in row.tags.items()}, depth=row.depth + 1)
             test = self.value(node[1], outer).expr
             return OpenRelation(one.relation.where(test).union(other.relation.where(Call(lambda c: ~c, test))), one.outer)
@@ -406,7 +412,7 @@ class Interp:
             return self.row_scope(scope).attach(df, "_all", F.array().cast(t))
         return literal(self.kept(v))
 
-    def opened(self, v: Relation | OpenRelation, scope: Scope) -> OpenRelation:
+    def beside(self, v: Relation | OpenRelation, scope: Scope) -> OpenRelation:
         """A closed relation beside every outer tuple."""
         if isinstance(v, OpenRelation):
             return v
@@ -438,7 +444,7 @@ class Interp:
                 if isinstance(b.value, Open) and free & at.names.keys():
                     free |= set(row.tags)
             at = at.parent
-        return self.opened(v, scope) if (free - seen) & (row.tags.keys() | row.alias.keys()) else v
+        return self.beside(v, scope) if (free - seen) & (row.tags.keys() | row.alias.keys()) else v
 
     # --- postfix operators ---
 
@@ -477,6 +483,7 @@ class Interp:
                 raise RelationError(f"unknown attribute {n}")
         front = [(n, False, True) for n in v.outer] if isinstance(v, OpenRelation) else []
         out = Relation(rel.df, rel.keys, [*front, *node[2]])
+        out.incoming = rel.sorting
         return OpenRelation(out, v.outer) if isinstance(v, OpenRelation) else out
 
     def on_while(self, node, scope):
@@ -626,6 +633,9 @@ class Interp:
             return Open(Call(F.concat, *parts), "text")
         if name == "text" and len(args) == 1:
             return Open(Call(lambda c: text_column(c, args[0].type), args[0].expr), "text") if isinstance(args[0], Open) else text(args[0])
+        if name == "format" and len(args) == 1 and isinstance(args[0], Open):
+            marks = {"text": ("'", "'"), "binary": ("b'", "'"), "time": ("t'", "'"), "date": ("t'", "'")}.get(args[0].type, ("", ""))
+            return Open(Call(lambda c: F.concat(F.lit(marks[0]), text_column(c, args[0].type), F.lit(marks[1])), args[0].expr), "text")
         for wants, result, python, columns in FUNCTIONS.get(name, ()):
             if len(wants) == len(args) and all(self.takes(w, g, got[0]) for w, g in zip(wants, got, strict=True)):
                 tag = got[0] if result == "first" else result
@@ -787,7 +797,7 @@ class Interp:
             return getattr(a, name)(b)
         whole = name in SETS or name in ("rajoin", "rajoinr") or (name == "ajoin" and isinstance(b, OpenRelation))
         if whole or isinstance(b, OpenRelation):
-            a, b = self.opened(a, scope), self.opened(b, scope)
+            a, b = self.beside(a, scope), self.beside(b, scope)
         outer = a.outer
         left, right = a.relation, b.relation if isinstance(b, OpenRelation) else b
         mine, theirs = a.own, [c for c in right.columns if c not in outer]
@@ -850,6 +860,9 @@ class Interp:
         if name == "fail":
             raise RelationError(f"{text(args[0])}: {text(args[1])}")
         if name == "assert":
+            if isinstance(args[0], Open):  # checked for every tuple
+                failed = F.raise_error(F.concat(F.lit("assertion failed: "), column(self.expr(args[1], scope), Place()).cast("string"))).cast("boolean")
+                return Open(Call(lambda c: F.when(c, F.lit(True)).otherwise(failed), args[0].expr), "bool")
             if not args[0]:
                 raise RelationError(f"assertion failed: {text(args[1])}")
             return True

@@ -208,19 +208,44 @@ def quoted_form(v: object) -> str:
     return text(v)
 
 
-def pretty(v: object, limit: int = 1000, clip: int = 60) -> str:
-    """A relation as a table of text: header, rule, rows; numbers and times to the right; one line for degree 0."""
+def _plain(x: object, t: T.DataType) -> object:
+    """A collected value for printing: relations as lists of rows."""
+    return x if kind(t) == "relation" else value_of(x, t)
+
+
+def _table(schema: T.StructType, rows: list, clip: int) -> list[str]:
+    """Lines of a table: header, rule, rows; nested relations are tables within their cells."""
+    kinds = [kind(f.dataType) for f in schema]
+    cells = []
+    for r in rows:
+        own = []
+        for x, f, k in zip(r, schema, kinds, strict=True):
+            if k == "relation":
+                inner = f.dataType.elementType
+                own.append(_table(inner, x, clip) if inner.names else ["{{}}" if x else "{{:}}"])
+            else:
+                own.append([text(_plain(x, f.dataType)).replace("\n", " ")[:clip]])
+        cells.append(own)
+    names = schema.names
+    widths = [max([len(n), *(len(line) for r in cells for line in r[i])]) for i, n in enumerate(names)]
+    pad = [str.rjust if k in ("number", "time", "date") else str.ljust for k in kinds]
+    line = lambda parts: " | ".join(f(c, w) for f, c, w in zip(pad, parts, widths, strict=True)).rstrip()
+    out = [line(names), "-+-".join("-" * w for w in widths)]
+    for r in cells:
+        out += [line([c[i] if i < len(c) else "" for c in r]) for i in range(max(map(len, r)))]
+    return out
+
+
+def pretty(v: object, clip: int = 60) -> str:
+    """A relation as a table of text, all rows in its order; one line for degree 0.
+
+    The text is on the driver, so what is printed is what the caller asked for: take() bounds it.
+    """
     if not isinstance(v, Relation):
         return text(v)
     if not v.columns:
         return "{{}}" if v.count() else "{{:}}"
-    kinds = [kind(f.dataType) for f in v.df.schema]
-    spark = v.df.sparkSession
-    rows = [[text(value_of(x, f.dataType, spark)).replace("\n", " ")[:clip] for x, f in zip(r, v.df.schema, strict=True)] for r in v.df.limit(limit).collect()]
-    widths = [max([len(n), *(len(r[i]) for r in rows)]) for i, n in enumerate(v.columns)]
-    pad = [str.rjust if k in ("number", "time", "date") else str.ljust for k in kinds]
-    line = lambda cells: " | ".join(f(c, w) for f, c, w in zip(pad, cells, widths, strict=True)).rstrip()
-    return "\n".join([line(v.columns), "-+-".join("-" * w for w in widths), *map(line, rows)])
+    return "\n".join(_table(v.df.schema, list(v.ordered().toLocalIterator()), clip))
 
 
 __all__ = ["Code", "Open", "OpenRelation", "RelationError", "Tup", "default_of", "literal", "pretty", "same", "spark_tag", "spark_type", "text", "type_of", "value_of"]

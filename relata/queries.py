@@ -150,9 +150,9 @@ def rsemijoin(t):
     return t.customer.where(attr("c_acctbal") < 0).select("c_name", k="c_custkey").rsemijoin(t.orders.select("o_orderkey", k="o_custkey"))
 
 
-@query("SELECT c_custkey AS k, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS k, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def ajoin(t):
-    return t.customer.select("c_name", k="c_custkey").notmatching(t.orders.rename(k="o_custkey"))
+    return t.customer.select("c_name", k="c_custkey").notmatching(t.orders.where(attr("o_orderpriority") == "1-URGENT").rename(k="o_custkey"))
 
 
 @query("SELECT o_orderkey, o_custkey AS k FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey AND c_acctbal < 5000)")
@@ -160,9 +160,9 @@ def rajoin(t):
     return t.customer.where(attr("c_acctbal") < 5000).rename(k="c_custkey").rajoin(t.orders.select("o_orderkey", k="o_custkey"))
 
 
-@query("SELECT DISTINCT c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def ajoinl(t):
-    return t.customer.select("c_mktsegment", k="c_custkey").ajoinl(t.orders.rename(k="o_custkey"))
+    return t.customer.select("c_mktsegment", "c_nationkey", k="c_custkey").ajoinl(t.orders.where(attr("o_orderpriority") == "1-URGENT").rename(k="o_custkey"))
 
 
 @query("SELECT DISTINCT o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey AND c_mktsegment = 'BUILDING')")
@@ -181,9 +181,13 @@ def theta_join(t):
     return a.join(b).where(attr("xk") < attr("yk")).project("x", "y")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation) AND false")
+@query("""SELECT (SELECT count(*) FROM supplier WHERE EXISTS (SELECT 1 FROM nation)) AS semi, (SELECT count(*) FROM supplier WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 0)) AS semi_empty,
+                 (SELECT count(*) FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation)) AS anti, (SELECT count(*) FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 0)) AS anti_empty""")
 def semijoin_no_common(t):
-    return t.supplier.project("s_suppkey").semijoin(t.nation)
+    some, nations = t.supplier.project("s_suppkey"), t.nation
+    none = nations.where(attr("n_nationkey") < 0)
+    counts = {"semi": some.semijoin(nations), "semi_empty": some.semijoin(none), "anti": some.ajoin(nations), "anti_empty": some.ajoin(none)}
+    return t.one(**{k: r.count() for k, r in counts.items()}).select(*(F.col(k).cast("long") for k in counts))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 0)")
@@ -253,14 +257,18 @@ def symdiff_empty_right(t):
     return a.symdiff(b.where(attr("k") < 0))
 
 
-@query("""SELECT NOT EXISTS (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region) AS sub,
+@query("""WITH c AS (SELECT NOT EXISTS (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region) AS sub,
                  NOT EXISTS (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation WHERE n_nationkey < 3) AS sup,
                  NOT EXISTS (SELECT r_regionkey FROM region WHERE r_regionkey < 2 INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey > 2) AS sep,
-                 true AS eq""")
+                 NOT EXISTS (SELECT r_regionkey FROM region WHERE r_regionkey < 3 INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey > 1) AS overlap)
+          SELECT *, NOT EXISTS ((SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation) UNION (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region)) AS eq,
+                 NOT EXISTS (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation WHERE n_nationkey < 3) AS eq_few FROM c""")
 def comparisons(t):
     regions, used = t.region.rename(k="r_regionkey"), t.nation.rename(k="n_regionkey")
     few = t.nation.where(attr("n_nationkey") < 3).rename(k="n_regionkey")
-    return t.one(sub=used.subset(regions), sup=few.superset(regions), sep=regions.where(attr("k") < 2).separate(regions.where(attr("k") > 2)), eq=regions.equals(used))
+    low = lambda n: regions.where(attr("k") < n)
+    high = lambda n: regions.where(attr("k") > n)
+    return t.one(sub=used.subset(regions), sup=few.superset(regions), sep=low(2).separate(high(2)), overlap=low(3).separate(high(1)), eq=regions.equals(used), eq_few=regions.equals(few))
 
 
 # --- folds ---
@@ -286,10 +294,9 @@ def fold_min_max(t):
     return t.customer.select("c_mktsegment", hi=fold("max", attr("c_acctbal")), lo=fold("min", attr("c_acctbal")), last=fold("max", attr("c_name")))
 
 
-@query("SELECT r_name, CAST(product(n_nationkey % 5 + 1) AS BIGINT) AS p FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS p FROM (SELECT DISTINCT * FROM lineitem) GROUP BY 1")
 def fold_product(t):
-    both = t.nation.select("n_nationkey", k="n_regionkey").join(t.region.rename(k="r_regionkey", r_name="r_name"))
-    return both.select("r_name", p=fold("*", long(Call(lambda c: c % 5 + 1, attr("n_nationkey")))))
+    return t.lineitem.select("l_orderkey", p=fold("*", long(attr("l_linenumber"))))
 
 
 @query("SELECT n_regionkey, bool_and(n_nationkey > 2) AS every, bool_or(n_nationkey > 20) AS some, sum((n_nationkey % 2 = 1)::INT) % 2 = 1 AS odd FROM nation GROUP BY 1")
@@ -297,22 +304,20 @@ def fold_all_any_xor(t):
     return t.nation.select("n_regionkey", every=fold("and", attr("n_nationkey") > 2), some=fold("or", attr("n_nationkey") > 20), odd=fold("xor", Call(lambda c: c % 2 == 1, attr("n_nationkey"))))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, '' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+@query("SELECT o_custkey, string_agg(o_orderpriority, '' ORDER BY o_orderkey) AS names FROM orders GROUP BY 1")
 def fold_concat_ordered(t):
-    return t.nation.order("%n_regionkey", "n_name").select(names=fold("&", attr("n_name"))).join(
-        t.nation.order("%n_regionkey", "n_name").select("n_regionkey", names=fold("&", attr("n_name")))
-    )
+    return t.orders.order("%o_custkey", "o_orderkey").select("o_custkey", names=fold("&", attr("o_orderpriority")))
 
 
-@query("SELECT n_regionkey, CAST(-sum(n_nationkey) AS BIGINT) AS m, round(1 / product(n_nationkey + 1), 9) AS d FROM nation GROUP BY 1")
+@query("SELECT o_custkey, CAST(-sum(o_orderkey) AS BIGINT) AS m, 1 / product(o_orderkey % 2 + 1) AS d FROM orders GROUP BY 1")
 def fold_minus_divide(t):
-    return t.nation.select("n_regionkey", m=fold("-", long(attr("n_nationkey"))), d=Call(lambda c: F.round(c, 9), fold("/", Call(lambda c: c.cast("double") + 1, attr("n_nationkey")))))
+    return t.orders.select("o_custkey", m=fold("-", long(attr("o_orderkey"))), d=fold("/", Call(lambda c: (c % 2 + 1).cast("double"), attr("o_orderkey"))))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+@query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY CAST(o_orderkey AS VARCHAR)) AS names FROM orders GROUP BY 1")
 def fold_user_comma(t):
     comma = (F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit(", "), x)))
-    return t.nation.select("n_regionkey", names=fold(comma, attr("n_name")))
+    return t.orders.select("o_custkey", names=fold(comma, Call(lambda c: c.cast("string"), attr("o_orderkey"))))
 
 
 @query("SELECT bit_or(n_nationkey) AS o, bit_xor(n_nationkey) AS x FROM nation")
@@ -339,9 +344,9 @@ def fold_then_join(t):
 # --- ordered ---
 
 
-@query("SELECT n_nationkey, CAST(sum(n_nationkey) OVER (ORDER BY n_name, n_nationkey) AS BIGINT) AS s FROM nation")
+@query("SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS s, max(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey) AS m FROM orders")
 def running_sum(t):
-    return t.nation.order("n_name").select("n_nationkey", s=fold("+", attr("n_nationkey")))
+    return t.orders.order("o_orderdate", "o_orderkey").select("o_orderkey", s=fold("+", attr("o_custkey")), m=fold("max", attr("o_totalprice")))
 
 
 @query("SELECT o_orderkey, o_custkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s FROM orders")
@@ -362,11 +367,11 @@ def ordered_suppress(t):
     return t.orders.order("o_custkey", "o_orderkey").select("o_orderpriority", s=fold("+", attr("o_orderkey")))
 
 
-@query("""WITH r AS (SELECT *, CASE WHEN lag(n_regionkey) OVER (ORDER BY n_name) IS DISTINCT FROM n_regionkey THEN 1 ELSE 0 END AS b FROM nation),
-               g AS (SELECT *, sum(b) OVER (ORDER BY n_name) AS run FROM r)
-          SELECT n_nationkey, n_regionkey, CAST(sum(n_nationkey) OVER (PARTITION BY run ORDER BY n_name) AS BIGINT) AS s FROM g""")
+@query("""WITH r AS (SELECT *, CASE WHEN lag(o_orderpriority) OVER (ORDER BY o_orderdate, o_orderkey) IS DISTINCT FROM o_orderpriority THEN 1 ELSE 0 END AS b FROM orders),
+               g AS (SELECT *, sum(b) OVER (ORDER BY o_orderdate, o_orderkey) AS run FROM r)
+          SELECT o_orderkey, o_orderpriority, CAST(sum(o_custkey) OVER (PARTITION BY run ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS s FROM g""")
 def running_sum_in_runs(t):
-    return t.nation.order("n_name", "%n_regionkey").select("n_nationkey", "n_regionkey", s=fold("+", attr("n_nationkey")))
+    return t.orders.order("o_orderdate", "o_orderkey", "%o_orderpriority").select("o_orderkey", "o_orderpriority", s=fold("+", attr("o_custkey")))
 
 
 @query("SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders")
@@ -384,13 +389,14 @@ def nth_in_group(t):
     return t.orders.order("%o_custkey", "o_orderkey").select("o_orderkey", p=nth(attr("o_totalprice"), 2))
 
 
-@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY n_name, n_nationkey, n_regionkey) - 1 AS rn FROM nation)
-          SELECT n_nationkey, CAST(rn AS BIGINT) AS o, CAST(first_value(rn) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS g FROM o""")
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rn FROM orders)
+          SELECT o_orderkey, CAST(rn AS BIGINT) AS o, CAST(first_value(rn) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS g FROM o""")
 def ord_and_ordg(t):
-    return t.nation.order("%n_regionkey", "n_nationkey").select("n_nationkey", o=ord_(), g=ordg())
+    """Positions count by the order that rows come in, not by the one they are grouped in."""
+    return t.orders.order("-o_totalprice", "o_orderkey").order("%o_custkey", "o_orderkey").select("o_orderkey", o=ord_(), g=ordg())
 
 
-# --- nested relations, recursion, correlation ---
+# --- nested relations, recursion ---
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
@@ -407,15 +413,24 @@ def image_relation_sizes(t):
     return seen.select("c_custkey", n=Call(lambda c: F.size(c).cast("long"), attr("own")), s=total)
 
 
-@query("SELECT n_regionkey, n_nationkey, n_name FROM nation")
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
 def unnest_union(t):
-    return t.nation.nest(own=["n_nationkey", "n_name"]).unnest("own")
+    return t.orders.project("o_custkey", "o_orderkey", "o_totalprice").nest(own=["o_orderkey", "o_totalprice"]).unnest("own")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 3")
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'")
 def nested_union_fold(t):
-    one = t.nation.where(attr("n_regionkey") != 3).extend(own=Call(lambda *c: F.array(F.struct(*(x.alias(n) for x, n in zip(c, ("n_nationkey", "n_name", "n_regionkey"), strict=True)))), attr("n_nationkey"), attr("n_name"), attr("n_regionkey")))
-    return one.select(own=fold("union", attr("own"))).unnest("own")
+    one = t.orders.where(attr("o_orderpriority") != "5-LOW").select("o_custkey", own=Call(lambda k, p: F.array(F.struct(k.alias("o_orderkey"), p.alias("o_orderpriority"))), attr("o_orderkey"), attr("o_orderpriority")))
+    return one.select("o_custkey", own=fold("union", attr("own"))).unnest("own")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey, o_orderkey % 4 AS part, o_orderpriority AS x FROM orders), n AS (SELECT o_custkey, count(DISTINCT part) AS m FROM p GROUP BY 1),
+               c AS (SELECT o_custkey, x, count(*) AS k FROM p GROUP BY 1, 2)
+          SELECT o_custkey, count(*) FILTER (WHERE k = m) AS shared, count(*) FILTER (WHERE k % 2 = 1) AS odd FROM c JOIN n USING (o_custkey) GROUP BY 1""")
+def nested_intersect_symdiff(t):
+    parts = t.orders.select("o_custkey", part=Call(lambda k: k % 4, attr("o_orderkey")), x="o_orderpriority").nest(own=["x"])
+    size = lambda f: Call(lambda c: F.size(c).cast("long"), f)
+    return parts.select("o_custkey", shared=size(fold("intersect", attr("own"))), odd=size(fold("symdiff", attr("own"))))
 
 
 @query("WITH RECURSIVE r AS (SELECT 0 AS a UNION SELECT a + 3 FROM r WHERE a + 3 <= 50) SELECT CAST(a AS BIGINT) AS a FROM r")
@@ -424,31 +439,23 @@ def while_integers(t):
     return seed.while_(lambda d: d.select(a=attr("a") + 3).where(attr("a") <= 50))
 
 
-_EDGES = "SELECT DISTINCT p_size AS x, (p_size * 7 + p_partkey % 3) % 50 AS y FROM part WHERE p_partkey < 150"
+_EDGES = "SELECT DISTINCT p_size AS x, (p_size * 7 + p_partkey % 3) % 50 AS y FROM part"
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, y FROM r")
 def while_closure(t):
-    base = t.part.where(attr("p_partkey") < 150).select(x=long(attr("p_size")), y=long(Call(lambda s, k: (s * 7 + k % 3) % 50, attr("p_size"), attr("p_partkey"))))
+    base = t.part.select(x=long(attr("p_size")), y=long(Call(lambda s, k: (s * 7 + k % 3) % 50, attr("p_size"), attr("p_partkey"))))
     step = base.rename(y="x", z="y")
     return base.while_(lambda d: d.compose(step).rename(x="x", y="z"))
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 1::BIGINT AS n, 0::BIGINT AS d UNION SELECT CAST(e.y AS BIGINT), d + 1 FROM r JOIN e ON r.n = e.x WHERE d < 4) SELECT n, d FROM r")
 def while_levels(t):
-    edges = t.part.where(attr("p_partkey") < 150).select(n=long(attr("p_size")), y=long(Call(lambda s, k: (s * 7 + k % 3) % 50, attr("p_size"), attr("p_partkey"))))
+    edges = t.part.select(n=long(attr("p_size")), y=long(Call(lambda s, k: (s * 7 + k % 3) % 50, attr("p_size"), attr("p_partkey"))))
     seed = Relation.of(t.spark.range(1).select((F.col("id") + 1).alias("n"), F.col("id").alias("d")))
     return seed.while_(lambda r: r.where(attr("d") < 4).join(edges).select(n="y", d=attr("d") + 1))
 
 
-@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10) AS n FROM customer")
-def correlated_extend(t):
-    orders = t.orders.rename(k="o_custkey", o="o_orderkey", p="o_totalprice")
-    met = t.customer.rename(k="c_custkey", bal="c_acctbal").join(orders).where(attr("p") > attr("bal") * 10).select("k", n=count())
-    rest = t.customer.rename(k="c_custkey").ajoin(met).extend(n=long(0))
-    return met.union(rest).rename(c_custkey="k", n="n")
-
-
 # --- scalar functions ---
 
 
@@ -510,27 +517,147 @@ def count_degree(t):
     return t.one(n=t.nation.count(), d=t.nation.degree()).select("n", F.col("d").cast("long").alias("d"), ).select(F.col("n").cast("long").alias("n"), "d")
 
 
-# --- updates, on a copy ---
+@query("SELECT 1 AS some, 0 AS none")
+def degree_zero(t):
+    """One empty tuple, as nation has rows; its count is all that can be seen of it."""
+    some, none = t.nation.project(), t.nation.where(attr("n_nationkey") < 0).project()
+    return t.one(some=some.count(), none=none.count())
+
+
+# --- programs in the language: statements, functions, updates, open expressions ---
+
+
+def program(t: Tables, text: str, result: str, **casts: str) -> DataFrame:
+    """Runs statements over the tables that they declare, and gives a relation's rows with the types asked for."""
+    from relata.gateway import Session
 
+    session = Session(t.spark, source_path=t.dir)
+    session.run_script(text)
+    df = session.evaluate(result).df
+    return df.select(*(F.col(n).cast(casts[n]).alias(n) if n in casts else F.col(n) for n in df.columns))
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION SELECT 99, 'ATLANTIS', 1")
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION SELECT n_nationkey + 100, lower(n_name), n_regionkey FROM nation WHERE n_regionkey = 1")
 def update_insert(t):
-    new = Relation.of(t.spark.range(1).select(F.lit(99).alias("n_nationkey"), F.lit("ATLANTIS").alias("n_name"), F.lit(1).alias("n_regionkey")))
-    return t.nation.union(new)
+    return program(t, """
+        var nation(parquet)
+        update nation union (nation .where(n_regionkey = 1) .{ n_nationkey := n_nationkey + 100, n_name := tolower(n_name), n_regionkey })""", "nation", n_nationkey="long", n_regionkey="long")
 
 
-@query("SELECT * FROM nation WHERE NOT n_regionkey = 2")
+@query("SELECT * FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_totalprice < 50000)")
 def update_delete(t):
-    return t.nation.where(~(attr("n_regionkey") == 2))
+    return program(t, "var orders(parquet)\nupdate orders .where(o_orderpriority = '5-LOW' and o_totalprice < 50000) .select{}", "orders")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation")
+@query("SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal) FROM customer")
 def update_modify(t):
-    return t.nation.extend(n_name=Call(lambda r, n: F.when(r == 2, F.lower(n)).otherwise(n), attr("n_regionkey"), attr("n_name")))
+    return program(t, "var customer(parquet)\nupdate customer .where(c_acctbal < 0) .select{ *c_mktsegment := 'in debt', c_acctbal := -c_acctbal }", "customer")
 
 
-@query(None)
-def degree_zero(t):
-    """One empty tuple, as nation has rows; its count is all that can be seen of it."""
-    some, none = t.nation.project(), t.nation.where(attr("n_nationkey") < 0).project()
-    return t.one(some=some.count(), none=none.count())
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def update_minus_and_snapshot(t):
+    """A snapshot keeps what an update takes away."""
+    return program(t, """
+        var customer(parquet)
+        var orders(parquet)
+        var c := customer .{ c_custkey }
+        kept := c
+        update c minus (orders .where(o_totalprice > 300000) .{ c_custkey := o_custkey })""", "kept intersect c")
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10) AS n FROM customer")
+def correlated_extend(t):
+    return program(t, "var customer(parquet)\nvar orders(parquet)", "customer .{ c_custkey, n := orders .where(o_custkey = c_custkey and o_totalprice > c_acctbal * 10) .count }", n="long")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE (SELECT count(*) FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal) > 20")
+def correlated_where(t):
+    return program(t, "var supplier(parquet)\nvar customer(parquet)", "supplier .where(customer .where(c_nationkey = s_nationkey and c_acctbal > s_acctbal) .count > 20) .{ s_suppkey, s_name }")
+
+
+@query("SELECT r_regionkey, count(c_custkey) AS n, coalesce(max(c_acctbal), 0) AS top FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY 1")
+def image_in_program(t):
+    return program(t, """
+        var region(parquet)
+        var nation(parquet)
+        var customer(parquet)
+        rich => customer .where(c_acctbal > 9000) .{ c_custkey, c_acctbal, n_nationkey := c_nationkey } compose nation .{ n_nationkey, r_regionkey := n_regionkey }""",
+        "region .{ r_regionkey, mine := ({{*}} rdivide rich) } .{ r_regionkey, n := mine.count, top := mine .{ (fold(max, c_acctbal)) } }", n="long")
+
+
+@query("""SELECT o_custkey, count(*) AS n, round(sum(o_totalprice) / count(*), 4) AS mean, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1 HAVING count(*) > 12""")
+def functions_of_folds(t):
+    made = program(t, """
+        var orders(parquet)
+        def mean(x:0) => fold(+, x) / fold(+, 1)
+        def spread(x:0) => do {
+            high := fold(max, x)
+            high - fold(min, x)
+        }""", "orders .{ o_custkey, n := fold(+, 1), mean := mean(o_totalprice), spread := spread(o_totalprice) } .where(n > 12)", n="long")
+    return made.withColumns({"mean": F.round("mean", 4), "spread": F.round("spread", 2)})
+
+
+@query("SELECT o_custkey, string_agg(o_orderpriority, '+' ORDER BY o_orderkey) AS names FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1")
+def user_fold_in_program(t):
+    return program(t, """
+        var orders(parquet)
+        def plus(a:'', b:'') => if(a = '', b, a & '+' & b)""", "orders .where(o_custkey mod 3 = 0) .order(%o_custkey, o_orderkey) .{ o_custkey, names := fold(plus, o_orderpriority) }")
+
+
+@query("SELECT p_partkey, 'size ' || p_size AS a, upper(p_name) || '!' AS b, p_size * 2 + 1 AS c FROM part")
+def overloads_in_program(t):
+    return program(t, """
+        var part(parquet)
+        def shown(a:0) => 'size ' & a
+        def shown(a:'') => toupper(a) & '!'
+        def shown(a:0, b:0) => a * b + 1""", "part .{ p_partkey, a := shown(p_size), b := shown(p_name), c := shown(p_size, 2) }", c="long")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 5")
+def deferred_and_order_in_program(t):
+    return program(t, """
+        var customer(parquet)
+        var least := 1000
+        chosen => customer .where(c_acctbal > least) .{ c_custkey, c_acctbal }
+        least := 5000""", "chosen .order(-c_acctbal, c_custkey) .skip(5) .take(20)")
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM r")
+def recursive_function_in_program(t):
+    return program(t, """
+        var part(parquet)
+        base := part .{ x := p_size, y := (p_size * 7 + p_partkey mod 3) mod 50 }
+        def closed:base(r:base) => do {
+            more := r union ((r .{ x, z := y } compose r .{ z := x, y }))
+            if(more = r, r, closed(more))
+        }""", "closed(base)", x="long", y="long")
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 1 AS n, 0 AS d UNION SELECT e.y, d + 1 FROM r JOIN e ON r.n = e.x WHERE d < 4) SELECT CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS d FROM r")
+def while_in_program(t):
+    return program(t, """
+        var part(parquet)
+        base := part .{ n := p_size, m := (p_size * 7 + p_partkey mod 3) mod 50 }
+        seed := {{ n := 1, d := 0 }}""", "seed .while( ({{*}} .where(d < 4) join base) .{ n := m, d := d + 1 } )", n="long", d="long")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, p_retailprice > 1500 AND p_size >= 30 AS dear FROM part")
+def user_type_in_program(t):
+    return program(t, """
+        var part(parquet)
+        type measure(amount:0, label:'')
+        def named(n:0) => measure(n, if(n < 10, 'small', if(n < 30, 'middle', 'large')))""",
+        "part .{ p_partkey, m := named(p_size), dear := p_retailprice > 1500 and p_size >= 30 } .{ p_partkey, size := m.label, dear }")
+
+
+@query("SELECT o_orderkey, lag(o_orderkey, 1, 0) OVER w AS before, lead(o_orderpriority, 1, '') OVER w AS next, CAST(sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def windows_in_program(t):
+    return program(t, "var orders(parquet)", "orders .order(%o_custkey, o_orderkey) .{ o_orderkey, before := lag(o_orderkey, 1), next := lead(o_orderpriority, 1), s := fold(+, o_custkey) }", before="long", s="long")
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r, CAST(3 AS BIGINT) AS a, 'ab5' AS t, true AS q")
+def scalars_in_program(t):
+    return program(t, """
+        var nation(parquet)
+        var region(parquet)
+        pair := { a := 1, b := 'x' } union { c := 2 }""", "rel({ n := nation.count, r := region.count, a := pair.a + pair.c, t := 'ab' & 5, q := pair.b = 'x' and nation .{ k := n_regionkey } = region .{ k := r_regionkey } })", n="long", r="long", a="long")

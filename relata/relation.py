@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.expr import Attr, Expr, Fold, Place, Window, column, quoted
-from relata.operators.ordered import GroupPlace, RunPlace, numbered, prefix_sums, runs, sort_columns
+from relata.operators.ordered import GroupPlace, RangePlace, RunPlace, beside, numbered, ranged, running, runs, sort_columns
 from relata.sources.store import settle, ship
 from relata.types import RelationError, default_value, filled, kind, signature, stored
 
@@ -40,6 +40,8 @@ class Relation:
         self._df, self.bag, self.raw = df, bag, raw
         self.keys = frozenset(Key(k) for k in keys) or frozenset([Key(self.columns)])
         self.sorting = tuple(order)
+        #: The order that the rows had before .order(), by which ord() counts.
+        self.incoming: tuple[tuple[str, bool, bool], ...] = ()
 
     @property
     def df(self) -> DataFrame:
@@ -154,7 +156,9 @@ class Relation:
             marks = term[: len(term) - len(name)]
             self._field(name)
             parsed.append((name, "-" in marks, "%" in marks))
-        return Relation(self.df, self.keys, parsed)
+        out = Relation(self.df, self.keys, parsed)
+        out.incoming = self.sorting
+        return out
 
     def take(self, n: int) -> Relation:
         """The first n rows by order, ties by all attributes."""
@@ -229,12 +233,9 @@ class Relation:
                 return out.project(*exprs) if grouping else out
         df = self.df
         if any(isinstance(v, Expr) and v.any(Window) and _uses(v, ("ord", "ordg")) for v in exprs.values()):
-            df = numbered(df, ())
-        sums = {k: v.arg for k, v in exprs.items() if isinstance(v, Fold) and v.op == "+"}
-        if len(sums) == len(exprs) and not any(g for _, _, g in order) and set(self.columns) <= set(kept.values()):
-            # running sums of distinct rows in one global order: shared by all tasks
-            out = prefix_sums(df, order, {f"_s_{k}": column(a, Place()) for k, a in sums.items()})
-            return Relation(out.select(*(_col(old).alias(k) for k, old in kept.items()), *(self._made(F.col(f"_s_{k}"), out).alias(k) for k in exprs)))
+            df = numbered(df, self.incoming)
+        if not windows and not any(g for _, _, g in order) and all(f.op in RangePlace.JOINED for v in exprs.values() for f in _folds(v) if isinstance(f.op, str)) and all(isinstance(f.op, str) for v in exprs.values() for f in _folds(v)):
+            return self._ranged(df, kept, exprs, order)
         df, group = runs(df, order)
         by = sort_columns(order, self.columns)
         place = RunPlace(df, group, by)
@@ -247,6 +248,21 @@ class Relation:
         out = made.select(*(_col(old).alias(k) for k, old in kept.items()), *(self._made(F.col(quoted(f"_x_{k}")), made).alias(k) for k in exprs))
         return Relation(out.distinct())
 
+    def _ranged(self, df: DataFrame, kept: dict[str, str], exprs: dict[str, object], order: list) -> Relation:
+        """Running folds in one global order, by ranges of it."""
+        parts, keys = ranged(df, order)
+        place = RangePlace(df)
+        made = {k: column(v, place) for k, v in exprs.items()}
+        steady = {k: v for k, v in exprs.items() if not (isinstance(v, Expr) and v.any(Fold))}
+        whole = set(self.columns) <= set(kept.values())
+        if not whole:  # rows that equal the next one but for folds give way to it
+            same = F.struct(*(_col(old) for old in kept.values()), *(made[k] for k in steady), F.lit(1).alias("_one"))
+            parts = settle(beside(parts, keys, same, "_next", ahead=True).withColumn("_gives", F.coalesce(F.col("_next") == same, F.lit(False))).drop("_next"))
+        out = running(parts, keys, place.folds)
+        out = out if whole else out.where("not _gives")
+        out = out.select(*(_col(old).alias(k) for k, old in kept.items()), *(self._made(c, out).alias(k) for k, c in made.items()))
+        return Relation(out if whole else out.distinct())
+
     # --- joins ---
 
     def _common(self, other: Relation) -> list[str]:
@@ -396,22 +412,33 @@ class Relation:
         the checkpoint folder, so the plan stays short and lost executors cost no recomputation.
         """
         found = settle(self.df)
-        delta = Relation(found)
+        delta, files = Relation(found), 1
         for _ in range(max_rounds):
             made = step(delta)
             if made.heading != self.heading:
                 raise RelationError("a while must give the heading it starts from")
-            new = made.df.select(*(_col(f.name).cast(f.dataType).alias(f.name) for f in self.df.schema)).distinct().subtract(found)
-            fresh = settle(new)
+            new = made.df.select(*(_col(f.name).cast(f.dataType).alias(f.name) for f in self.df.schema)).distinct()
+            fresh = settle(new.subtract(found))
             if fresh.isEmpty():
                 return Relation(found)
-            found, delta = found.unionByName(fresh), Relation(fresh)
+            found, delta, files = found.unionByName(fresh), Relation(fresh), files + 1
+            if files == 8:  # what was found is read in every round: keep it in few files
+                found, files = settle(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))), 1
         raise RelationError(f"a while did not end in {max_rounds} rounds")
 
     # --- output ---
 
+    def ordered(self) -> DataFrame:
+        """The rows in the relation's order, ties by all attributes; as they come if it has none."""
+        return self.df.orderBy(*sort_columns(self.sorting, self.columns)) if self.sorting else self.df
+
     def rows(self) -> list[Row]:
-        return self.df.collect()
+        return self.ordered().collect()
+
+    def write_csv(self, path: str) -> None:
+        """One folder of csv files with a header; relation-valued attributes as JSON."""
+        nested = [F.to_json(_col(f.name)).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType) else _col(f.name) for f in self.df.schema]
+        self.ordered().select(*nested).write.csv(path, header=True)
 
     def __repr__(self) -> str:
         return f"Relation({', '.join(f'{n}:{k}' for n, k in self.heading.items())})"
@@ -431,6 +458,10 @@ def _attributes(e: object) -> set[str]:
     return set().union(*map(_attributes, parts)) if parts else set()
 
 
+def _folds(e: object) -> list[Fold]:
+    return [e] if isinstance(e, Fold) else [f for p in e.parts for f in _folds(p)] if isinstance(e, Expr) else []
+
+
 def _uses(e: object, names: tuple[str, ...]) -> bool:
     return isinstance(e, Window) and e.name in names or isinstance(e, Expr) and any(_uses(p, names) for p in e.parts)
 

@@ -76,5 +76,5 @@ def read(spark: SparkSession, origin: str, name: str, folder: str, heading: T.St
     if origin == "parquet":
         return Relation.from_parquet(spark, f"{path}.parquet")
     if origin == "db":
-        return Relation(spark.table(name))
+        return Relation.of(spark.table(name))
     raise RelationError(f"no source {origin}")

@@ -11,6 +11,8 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from relata.types import RelationError
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -27,7 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="relata-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RelationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="relata-")
         _FOLDERS[app] = f"{base.rstrip('/')}/relata-{app}"
         atexit.register(_drop, _FOLDERS[app])
     return _FOLDERS[app]
