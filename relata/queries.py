@@ -541,7 +541,7 @@ def program(t: Tables, text: str, result: str, **casts: str) -> DataFrame:
 def update_insert(t):
     return program(t, """
         var nation(parquet)
-        update nation union (nation .where(n_regionkey = 1) .{ n_nationkey := n_nationkey + 100, n_name := tolower(n_name), n_regionkey })""", "nation", n_nationkey="long", n_regionkey="long")
+        update nation union (nation .where(n_regionkey = 1) .{ n_nationkey := n_nationkey + 100, n_name := tolower(n_name), n_regionkey })""", "nation", n_nationkey="int", n_regionkey="int")
 
 
 @query("SELECT * FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_totalprice < 50000)")
@@ -585,7 +585,7 @@ def image_in_program(t):
         "region .{ r_regionkey, mine := ({{*}} rdivide rich) } .{ r_regionkey, n := mine.count, top := mine .{ (fold(max, c_acctbal)) } }", n="long")
 
 
-@query("""SELECT o_custkey, count(*) AS n, round(sum(o_totalprice) / count(*), 4) AS mean, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1 HAVING count(*) > 12""")
+@query("""SELECT o_custkey, count(*) AS n, round(sum(o_totalprice) / count(*), 7) AS mean, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1 HAVING count(*) > 12""")
 def functions_of_folds(t):
     made = program(t, """
         var orders(parquet)
@@ -594,7 +594,7 @@ def functions_of_folds(t):
             high := fold(max, x)
             high - fold(min, x)
         }""", "orders .{ o_custkey, n := fold(+, 1), mean := mean(o_totalprice), spread := spread(o_totalprice) } .where(n > 12)", n="long")
-    return made.withColumns({"mean": F.round("mean", 4), "spread": F.round("spread", 2)})
+    return made.withColumns({"mean": F.round("mean", 7), "spread": F.round("spread", 2)})
 
 
 @query("SELECT o_custkey, string_agg(o_orderpriority, '+' ORDER BY o_orderkey) AS names FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1")
@@ -610,7 +610,7 @@ def overloads_in_program(t):
         var part(parquet)
         def shown(a:0) => 'size ' & a
         def shown(a:'') => toupper(a) & '!'
-        def shown(a:0, b:0) => a * b + 1""", "part .{ p_partkey, a := shown(p_size), b := shown(p_name), c := shown(p_size, 2) }", c="long")
+        def shown(a:0, b:0) => a * b + 1""", "part .{ p_partkey, a := shown(p_size), b := shown(p_name), c := shown(p_size, 2) }", c="int")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 5")

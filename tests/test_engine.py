@@ -111,6 +111,52 @@ def test_running_sums_over_many_ranges(spark):
         assert got[k] == total
 
 
+def test_ordered_selects_without_exchange_reuse(spark):
+    """Range samples differ from run to run, so nothing may read a range shuffle twice."""
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        many = Relation(spark.range(600_000).select(((F.col("id") * 7919) % 600_000).alias("k"), F.lit(1).alias("one")), [["k"]])
+        got = many.order("k").select("k", "one", s=fold("+", attr("one"))).df
+        assert got.agg(F.max("s"), F.countDistinct("s"), F.sum((F.col("s") != F.col("k") + 1).cast("int"))).first() == (600_000, 600_000, 0)
+        r = random.Random(8)
+        data = [(i, r.choice("aab"), r.randint(-9, 9)) for i in range(4000)]
+        rel = Relation.of(spark.createDataFrame(r.sample(data, 4000), "k int, c string, v int"))
+        kept = rows(rel.order("k").select("c", s=fold("+", attr("v")), m=fold("max", attr("v")), both=fold("+", attr("v")) * 2 + fold("min", attr("v"))))
+        total, want = 0, set()
+        for i, (_, c, v) in enumerate(data):
+            total += v
+            if i == len(data) - 1 or data[i + 1][1] != c:
+                seen = [x for *_, x in data[: i + 1]]
+                want.add((c, total, max(seen), total * 2 + min(seen)))
+        assert set(kept) == want and len(kept) == len(want)
+        runs = {x.k: x.s for x in rel.order("k", "%c").select("k", "c", s=fold("+", attr("v"))).rows()}
+        sums, last = 0, None
+        for k, c, v in data:
+            sums = sums + v if c == last else v
+            last = c
+            assert runs[k] == sums
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_relation_values_fold(spark):
+    df = spark.createDataFrame([(1, [("a", 1), ("b", 2)]), (1, [("b", 2), ("c", 3)]), (2, [("a", 1)]), (3, []), (3, [("a", 1)])], "g int, own array<struct<x:string,n:int>>")
+    rel = Relation.of(df)
+    as_sets = lambda op: {r.g: sorted(x.x for x in r.o) for r in rel.select("g", o=fold(op, attr("own"))).rows()}
+    assert as_sets("union") == {1: ["a", "b", "c"], 2: ["a"], 3: ["a"]}
+    assert as_sets("intersect") == as_sets("join") == {1: ["b"], 2: ["a"], 3: []}
+    assert as_sets("symdiff") == {1: ["a", "c"], 2: ["a"], 3: ["a"]}
+    with pytest.raises(RelationError):
+        as_sets("compose")
+
+
+def test_csv_output(spark, tmp_path):
+    rel = Relation.of(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")).order("-k")
+    rel.write_csv(str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out"), header=True, schema="k int, v string").orderBy("k").collect()] == [(1, "a"), (2, "b")]
+
+
 def test_nesting(db):
     s, sp = db["S"], db["SP"]
     nested = sp.nest(own=["P#", "QTY"])
