@@ -9,14 +9,17 @@ files. A record is framed as
     check    4 bytes, masked CRC-32 of the data
 
 where masked means rotated right by 15 bits plus a constant, so that a checksum of data that holds
-checksums stays sound. part-NNNNNN.idx holds flag, id and offset (17 bytes) of each record. Files
-are written under a temporary name and moved, so a task that runs again leaves one whole file.
+checksums stays sound. part-NNNNNN.idx holds flag, id and offset of each record (17 bytes) and their
+masked CRC-32 (4 bytes). A reader in file order checks every record against the index. Files are
+written under a temporary name and moved, so a task that runs again leaves one whole file.
 
 The tokenizer ignores white space but as a boundary, so the ids of a text are those of its words
 in a row; ids of words are remembered up to a bound.
 
 Defined results: a null text counts as empty (the end id alone); a null id sorts first; rows of
-equal id are ordered by their text's hash; extra columns are not read; an empty table gives no files.
+equal id are ordered by their text's hash; extra columns are not read; an empty table gives no files;
+ids are stored as 64-bit integers, and an id that is no number is an error. The manifest's running
+count of ids is a window in one task, over a row a file.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from relata.llm.common import prepare, settle, shared_dir
 
 MASK_DELTA = 0xA282EAD8
 HEAD, ENTRY = "<Bq", "<BqQ"
-HEAD_BYTES, ENTRY_BYTES = struct.calcsize(HEAD), struct.calcsize(ENTRY)
+HEAD_BYTES, ENTRY_BYTES = struct.calcsize(HEAD), struct.calcsize(ENTRY) + 4
 REMEMBER = 250_000
 #: Fixed value: the lower-case letters of Latin-1.
 LETTERS = "a-zªºµß-öø-ÿ"
@@ -73,6 +76,23 @@ def read_frame(stream) -> bytes | None:
     return body[:n]
 
 
+def entry(known: bool, doc_id: int, offset: int) -> bytes:
+    data = struct.pack(ENTRY, known, doc_id, offset)
+    return data + struct.pack("<I", masked_crc(data))
+
+
+def read_entries(stream) -> Iterator[tuple[int, int, int]]:
+    """(flag, id, offset) of each entry of an index; ValueError if a checksum does not hold."""
+    while block := stream.read(ENTRY_BYTES * 65536):
+        if len(block) % ENTRY_BYTES:
+            raise ValueError("an index is cut off")
+        for at in range(0, len(block), ENTRY_BYTES):
+            data = block[at : at + ENTRY_BYTES]
+            if struct.unpack_from("<I", data, ENTRY_BYTES - 4)[0] != masked_crc(data[:-4]):
+                raise ValueError("an index entry is damaged")
+            yield struct.unpack_from(ENTRY, data)
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer file, as little-endian integers of `width` bytes."""
 
@@ -185,7 +205,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
                 for doc_id, tokens in zip(ids, words.encode_batch(batch.column(1).to_pylist()), strict=True):
                     key = (doc_id is not None, doc_id or 0)
                     record = frame(b"".join((struct.pack(HEAD, *key), tokens, end)))
-                    index.write(struct.pack(ENTRY, *key, offset))
+                    index.write(entry(*key, offset))
                     records.write(record)
                     offset += len(record)
                     n_docs += 1
@@ -201,7 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Every record of the files, its frame verified: doc_id, start, n_tokens, ids_crc32.
+    """Every record of the files, its frame and its index entry verified: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before it; ids_crc32 is the unsigned CRC-32 of its ids as
     little-endian unsigned 32-bit integers. A file streams through its task record by record.
@@ -215,16 +235,22 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 store, path = fs.FileSystem.from_uri(row["file"])
-                at, out = row["start"], []
-                with store.open_input_stream(path, buffer_size=1 << 20) as stream:
+                at, out, offset = row["start"], [], 0
+                with store.open_input_stream(path, buffer_size=1 << 20) as stream, store.open_input_stream(path[:-3] + "idx") as index:
+                    entries = read_entries(index)
                     while (data := read_frame(stream)) is not None:
                         known, doc_id = struct.unpack_from(HEAD, data)
+                        if next(entries, None) != (known, doc_id, offset):
+                            raise ValueError("a record and its index entry differ")
+                        offset += len(data) + 16
                         ids = np.frombuffer(data, dtype=f"<u{row['width']}", offset=HEAD_BYTES)
                         out.append((doc_id if known else None, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
                         if len(out) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
                             out = []
+                    if next(entries, None) is not None:
+                        raise ValueError("an index has more entries than there are records")
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
@@ -240,8 +266,8 @@ def read_index(manifest: DataFrame) -> DataFrame:
             for file, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, path = fs.FileSystem.from_uri(file[:-3] + "idx")
                 with store.open_input_stream(path) as stream:
-                    while block := stream.read(ENTRY_BYTES * 65536):
-                        rows = list(struct.iter_unpack(ENTRY, block))
+                    entries = read_entries(stream)
+                    while rows := list(islice(entries, 65536)):
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i if k else None for k, i, _ in rows], pa.int64()), "file": [file] * len(rows), "width": pa.array([width] * len(rows), pa.int64()), "offset": pa.array([o for _, _, o in rows], pa.int64())})
 
     return manifest.select("file", "width").mapInArrow(read, "doc_id long, file string, width long, offset long")

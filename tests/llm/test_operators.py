@@ -211,7 +211,8 @@ def test_token_files_hold_all_ids_in_order(spark, docs, corpus):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
     index = token_files.read_index(manifest)
     shuffled = token_files.read_at(index.orderBy("offset")).collect()
-    assert sorted(sum(len(r.ids) for r in shuffled) for _ in [0]) == [at] and len(shuffled) == len(corpus)
+    own = sorted((d is not None, d or 0, t.encode(text or "", add_special_tokens=False).ids + [2]) for d, text, *_ in corpus)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in shuffled) == own
 
 
 def test_a_damaged_record_is_refused():
@@ -225,6 +226,11 @@ def test_a_damaged_record_is_refused():
         with pytest.raises(ValueError):
             token_files.read_frame(io.BytesIO(bytes(bad)))
     assert token_files.read_frame(io.BytesIO(b"")) is None
+    index = token_files.entry(True, 7, 90) + token_files.entry(False, 0, 120)
+    assert list(token_files.read_entries(io.BytesIO(index))) == [(1, 7, 90), (0, 0, 120)]
+    for bad in (index[:-1], index[:20] + b"x" + index[21:], index[:3] + b"x" + index[4:]):
+        with pytest.raises(ValueError):
+            list(token_files.read_entries(io.BytesIO(bad)))
 
 
 def test_word_pieces_equal_the_whole_text():
