@@ -123,7 +123,8 @@ class WordTokenizer:
         """Words of letters only, thousands in one call: the last token of each ends a word."""
         for start in range(0, len(words), 4096):
             part = words[start : start + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            whole = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]  # keeps no offsets
+            ids = np.array(whole.ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
                 yield from self._encode(part)
