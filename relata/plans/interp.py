@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from relata.expr import Attr, Call, Expr, Fold, Place, Window, column, quoted
 from relata.plans.builtins import FUNCTIONS, ORDERED, text_column, time_of
 from relata.plans.parser import Parser
-from relata.plans.values import CODE, USER, Code, Open, OpenRelation, Tup, default_of, literal, pretty, spark_tag, spark_type, text, type_of, value_of
+from relata.plans.values import CODE, USER, Code, Held, Nesting, Open, OpenRelation, Part, Tup, default_of, gathered, literal, pretty, spark_tag, spark_type, text, type_of, value_of
 from relata.relation import Relation, configure
 from relata.types import RelationError
 
@@ -70,9 +70,21 @@ class RowScope(Scope):
     def outer_name(self, name: str) -> str:
         return f"_o{self.depth}_{name}"
 
-    def outer(self) -> Relation:
+    @property
+    def plain(self) -> Relation:
+        """The frame, less what it does not gather: the rest identifies its tuples."""
+        return self.frame.base if isinstance(self.frame, Nesting) else self.frame
+
+    @property
+    def outers(self) -> list[str]:
+        return [self.outer_name(n) for n in self.plain.columns]
+
+    def under(self) -> list[Column]:
         """The frame's attributes under their outer names (those it carries for outer scopes too)."""
-        return Relation(self.frame.df.select(*(_c(n).alias(self.outer_name(n)) for n in self.frame.columns)))
+        return [_c(n).alias(self.outer_name(n)) for n in self.plain.columns]
+
+    def outer(self) -> Relation:
+        return Relation(self.plain.df.select(*self.under()))
 
     def attach(self, df, value: str, default: Column) -> Expr:
         """A column for each tuple, from a frame with the outer names; default where it has no row."""
@@ -80,15 +92,16 @@ class RowScope(Scope):
         self.added.append((df, value, default, name))
         return Attr(name)
 
-    def extended(self) -> Relation:
-        """The frame with what was attached."""
-        df = self.frame.df
+    def extended(self, whole: bool = False) -> Relation:
+        """The frame with what was attached; whole: with arrays of what it does not gather."""
+        frame = self.frame if whole else self.plain
+        df = frame.df
         for other, value, default, name in self.added:
-            keys = [n for n in self.frame.columns if self.outer_name(n) in other.columns]
+            keys = [n for n in frame.columns if self.outer_name(n) in other.columns]
             side = other.select(*(_c(self.outer_name(n)) for n in keys), _c(value).alias(name), F.lit(True).alias("_met"))
             on = [_c(n).eqNullSafe(_c(self.outer_name(n))) for n in keys]
             df = df.join(side, on, "left").select(*(_c(c) for c in df.columns), F.when(F.col("_met"), _c(name)).otherwise(default).alias(name))
-        return Relation(df, self.frame.keys, self.frame.sorting)
+        return Relation(df, frame.keys, frame.sorting)
 
 
 def _c(name: str) -> Column:
@@ -98,13 +111,23 @@ def _c(name: str) -> Column:
 def names_in(node: object) -> set[str]:
     """All names that occur in a node."""
     if isinstance(node, tuple):
-        own = {node[1]} if len(node) > 1 and node[0] == "name" else {node[1]} if node and node[0] == "call" else set()
+        own = {node[1]} if len(node) > 1 and node[0] in ("name", "call") and isinstance(node[1], str) else set()
         return own.union(*(names_in(x) for x in node[1:])) if len(node) > 1 else own
     if isinstance(node, list):
         return set().union(*map(names_in, node)) if node else set()
     return set()
 
 
+def names_within(node: object) -> set[str]:
+    """Names that occur where another relation's tuples, or a condition between relations, are at hand."""
+    if isinstance(node, list):
+        return set().union(*map(names_within, node)) if node else set()
+    if not isinstance(node, tuple) or not node:
+        return set()
+    bodies = {"select": node[3:], "where": node[2:], "while": node[2:], "if": node[1:2]}.get(node[0], ()) if isinstance(node[0], str) else ()
+    return names_in(list(bodies)) | names_within(list(node))
+
+
 class Interp:
     def __init__(self, spark=None, source_path: str = ".", write: Callable[[str], None] = print, read: Callable[[], str] = input):
         self.spark = configure(spark) if spark is not None else None
@@ -261,7 +284,7 @@ class Interp:
         while at is not None:
             if isinstance(at, RowScope):
                 if name in at.tags:
-                    return Open(Attr(name), at.tags[name])
+                    return self.attribute(name, at)
                 if name in at.alias:
                     return Open(Attr(at.alias[name][0]), at.alias[name][1])
             if name in at.names:
@@ -274,6 +297,19 @@ class Interp:
             return self.call(name, [], scope)
         raise RelationError(f"{name} is not defined")
 
+    def attribute(self, name: str, row: RowScope) -> Open:
+        """An attribute of the tuples at hand; one that their relation does not gather stays rows."""
+        if not isinstance(row.frame, Nesting) or name not in row.frame.parts:
+            return Open(Attr(name), row.tags[name])
+        part = row.frame.parts[name]
+        if set(part.by) == set(row.plain.columns):
+            df = part.df.select(*(_c(part.key(n)).alias(row.outer_name(n)) for n in part.by), *map(_c, part.own))
+        else:
+            on = [_c(row.outer_name(n)).eqNullSafe(_c(part.key(n))) for n in part.by]
+            df = row.outer().df.join(part.df, on).select(*map(_c, row.outers), *map(_c, part.own))
+        own = OpenRelation(Relation(df), row.outers, frozenset(map(row.outer_name, part.by)))
+        return Held(own, row.tags[name], lambda v: self.expr(v, row))
+
     def on_do(self, node, scope):
         own, last = Scope(scope), None
         for s in node[1]:
@@ -318,7 +354,7 @@ class Interp:
             row = self.row_scope(scope)
             if row is None:
                 raise RelationError("{*} needs a tuple")
-            return Open(Call(lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, row.tags, strict=True))), *map(Attr, row.tags)), ("tup", dict(row.tags)))
+            return Open(Call(lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, row.tags, strict=True))), *(self.attribute(n, row).expr for n in row.tags)), ("tup", dict(row.tags)))
         made = {n if n is not None else e[1]: self.value(e, scope) for n, e in elements}
         if any(isinstance(v, Open) for v in made.values()):
             parts = [self.expr(v, scope) for v in made.values()]
@@ -357,19 +393,19 @@ class Interp:
             row = self.row_scope(scope)
             if row is None:
                 raise RelationError("{{*}} needs a tuple")
-            own = row.frame.df.select(*(_c(n).alias(row.outer_name(n)) for n in row.frame.columns), *(_c(n) for n in row.tags))
-            return OpenRelation(Relation(own), [row.outer_name(n) for n in row.frame.columns])
+            own = row.frame.df.select(*row.under(), *(_c(n) for n in row.tags))
+            return OpenRelation(Relation(own), row.outers, image={n: row.outer_name(n) for n in row.tags})
         values = [self.value(r, scope) for r in rows]
         if any(isinstance(v, Open) for v in values) and (row := self.row_scope(scope)) is not None:
             parts = []
             for r in rows:
                 made = {n if n is not None else e[1]: self.expr(self.value(e, scope), scope) for n, e in r[2]}
-                df = row.extended().df.select(*(_c(n).alias(row.outer_name(n)) for n in row.frame.columns), *(column(e, Place()).alias(n) for n, e in made.items()))
+                df = row.extended().df.select(*row.under(), *(column(e, Place()).alias(n) for n, e in made.items()))
                 parts.append(Relation.of(df))
             out = parts[0]
             for p in parts[1:]:
                 out = out.union(p)
-            return OpenRelation(out, [row.outer_name(n) for n in row.frame.columns])
+            return OpenRelation(out, row.outers)
         tags = type_of(values[0])[1] if values else {}
         return self.relation([v.fields for v in values], tags)
 
@@ -417,7 +453,18 @@ class Interp:
         if isinstance(v, OpenRelation):
             return v
         outer = self.row_scope(scope).outer()
-        return OpenRelation(outer.join(v), outer.columns)
+        return OpenRelation(outer.join(v), outer.columns, frozenset())
+
+    def reach(self, v: OpenRelation, nodes: object, row: RowScope, scope: Scope) -> frozenset[str] | None:
+        """The outer attributes that determine v once these nodes, over its tuples, have worked on it; None for all."""
+        if v.deps is None or row.added:
+            return None
+        at = scope
+        while at is not None:
+            if not isinstance(at, RowScope) and at is not self.globals and at.names:
+                return None  # a local name may stand for any attribute
+            at = at.parent
+        return v.deps | {row.alias[n][0] for n in names_in(nodes) & row.alias.keys()}
 
     def inside(self, v: Relation | OpenRelation, scope: Scope) -> RowScope:
         """The scope of a relation's attributes, and of the outer ones that it carries."""
@@ -451,30 +498,40 @@ class Interp:
     def on_where(self, node, scope):
         v = self.correlated(self.value(node[1], scope), node[2], scope)
         v = self.relational(v, scope)
+        if isinstance(v, Nesting) and names_within(node[2]) & v.parts.keys():
+            v = gathered(v)
         row = self.inside(v, scope)
         test = self.value(node[2], row)
         if not isinstance(test, Open):
             test = Open(F.lit(bool(test)), "bool")
         if test.type != "bool":
             raise RelationError("a where needs a bool")
-        rel = v.relation if isinstance(v, OpenRelation) else v
-        out = row.extended().where(test.expr) if row.added else rel.where(test.expr)
+        rel, condition = row.plain, test.expr
+        out = row.extended().where(condition) if row.added else rel.where(condition)
         if row.added:
             out = Relation(out.df.select(*map(_c, rel.columns)), rel.keys, rel.sorting)
-        return OpenRelation(out, v.outer) if isinstance(v, OpenRelation) else out
+        if isinstance(v, Nesting):
+            return Nesting(out, v.parts, v.names)
+        return OpenRelation(out, v.outer, self.reach(v, node[2], row, scope)) if isinstance(v, OpenRelation) else out
 
     def relational(self, v: object, scope: Scope) -> Relation | OpenRelation:
         if isinstance(v, Relation | OpenRelation):
             return v
+        if isinstance(v, Held):
+            return self.rows_of(v, scope)
         if isinstance(v, Open) and isinstance(v.type, tuple) and v.type[0] == "rel":
-            row = self.row_scope(scope)
-            frame = row.extended().df
-            df = frame.select(*(_c(n).alias(row.outer_name(n)) for n in row.frame.columns), F.inline(column(v.expr, Place())))
-            return OpenRelation(Relation.of(df), [row.outer_name(n) for n in row.frame.columns])
+            row, whole = self.row_scope(scope), column(v.expr, Place())
+            df = row.extended().df.select(*row.under(), F.inline(whole))
+            return OpenRelation(Relation.of(df), row.outers)
         if isinstance(v, Tup):
             return self.relation([v.fields], {n: type_of(x) for n, x in v.fields.items()})
         raise RelationError("a relation is needed")
 
+    def rows_of(self, v: Held, scope: Scope) -> OpenRelation:
+        if not set(v.relation.outer) <= set(self.row_scope(scope).outers):
+            raise RelationError("a relation-valued attribute is used among other tuples than its own")
+        return v.relation
+
     def on_order(self, node, scope):
         v = self.relational(self.value(node[1], scope), scope)
         rel = v.relation if isinstance(v, OpenRelation) else v
@@ -484,10 +541,10 @@ class Interp:
         front = [(n, False, True) for n in v.outer] if isinstance(v, OpenRelation) else []
         out = Relation(rel.df, rel.keys, [*front, *node[2]])
         out.incoming = rel.sorting
-        return OpenRelation(out, v.outer) if isinstance(v, OpenRelation) else out
+        return OpenRelation(out, v.outer, v.deps) if isinstance(v, OpenRelation) else out
 
     def on_while(self, node, scope):
-        v = self.relational(self.value(node[1], scope), scope)
+        v = gathered(self.relational(self.value(node[1], scope), scope))
         if isinstance(v, OpenRelation):
             raise RelationError("a while can't start from an open relation")
 
@@ -516,11 +573,13 @@ class Interp:
         if isinstance(v, Open) and isinstance(v.type, tuple) and v.type[0] == "tup":
             return self.select_open_tuple(v, star, elements, scope)
         v = self.correlated(self.relational(v, scope), [e for _, e in elements], scope)
+        if isinstance(v, Nesting) and (names_within([e for _, e in elements]) & v.parts.keys() or any(n is None and not (e[0] == "name" and e[1] in v.columns) for n, e in elements)):
+            v = gathered(v)
         outer = v.outer if isinstance(v, OpenRelation) else []
         rel = v.relation if isinstance(v, OpenRelation) else v
         own = [c for c in rel.columns if c not in outer]
         row = self.inside(v, scope)
-        keep, new, lifted = [], {}, None
+        keep, new, lifted, open_ = [], {}, None, {}
         for n, e in elements:
             if n is None and e[0] == "name" and e[1] in own:
                 keep.append(e[1])
@@ -528,20 +587,53 @@ class Interp:
                 lifted = e[1] if e[0] == "paren" else e
             elif e[0] == "name" and e[1] in own:
                 new[n] = e[1]
+            elif isinstance(value := self.value(e, row), OpenRelation):
+                new[n] = open_[n] = value
             else:
-                new[n] = self.expr(self.value(e, row), row)
+                new[n] = self.expr(value, row)
         if lifted is not None:
             if star or keep or new or len(elements) > 1:
                 raise RelationError("a lifted value must stand alone")
             return self.lift(v, rel, outer, self.value(lifted, row), row, scope)
-        source = row.extended() if row.added else rel
+        if (open_ or isinstance(rel, Nesting)) and not outer and (out := self.nesting(rel, row, star, keep, new, open_)):
+            return out
+        new |= {n: self.expr(value, row) for n, value in open_.items()}
+        source = row.extended(whole=True) if row.added else rel
         if row.added and star:
             keep = [*keep, *(a[3] for a in row.added)]
         if star:
             out = source.transform([k for k in keep if k not in outer], True, new)
         else:
             out = source.transform([*outer, *keep], False, new)
-        return OpenRelation(out, outer) if outer else out
+        return OpenRelation(out, outer, self.reach(v, [e for _, e in elements], row, scope)) if outer else out
+
+    def nesting(self, rel: Relation, row: RowScope, star: bool, keep: list[str], new: dict, made: dict[str, OpenRelation]) -> Relation | None:
+        """A select whose relation-valued attributes, made or kept, need no arrays: attributes that it keeps determine them.
+
+        None where they don't, and for folds and windows, which group by all attributes or sort by them.
+        """
+        parts = rel.parts if isinstance(rel, Nesting) else {}
+        renames = {n: v for n, v in new.items() if isinstance(v, str)}
+        kept = {n: n for n in rel.columns if (n not in keep and n not in renames.values() and n not in new) == star and (star or n in keep)} | renames
+        held = {n: old for n, old in kept.items() if old in parts}
+        back = {old: n for n, old in kept.items() if old not in parts}
+        outer = {row.outer_name(old): n for old, n in back.items()}
+        rest = {n: v for n, v in new.items() if n not in held and n not in made}
+        if rel.sorting or (held or made) and any(isinstance(v, Expr) and (v.any(Fold) or v.any(Window)) for v in rest.values()):
+            return None
+        if any(not set(parts[old].by) <= back.keys() for old in held.values()) or any(not v.deps or not v.deps <= outer.keys() or not v.own for v in made.values()):
+            return None
+        names = [n for n in keep if n not in parts]
+        if star:  # those named go
+            names += [n for n in row.plain.columns if n in made] + [a[3] for a in row.added]
+        base = (row.extended() if row.added else row.plain).transform(names, star, rest)
+        if not held and not made:
+            return base
+        nested = {n: parts[old].renamed(back) for n, old in held.items()}
+        for n, v in made.items():
+            by, df = sorted(v.deps), v.relation.project(*sorted(v.deps), *v.own).df
+            nested[n] = Part(df.select(*(_c(o).alias(Part.key(outer[o])) for o in by), *map(_c, v.own)), [outer[o] for o in by])
+        return Nesting(base, nested, [*kept, *(n for n in new if n not in renames)])
 
     def lift(self, v, rel, outer, value, row, scope):
         if not isinstance(value, Open):
@@ -802,6 +894,9 @@ class Interp:
         left, right = a.relation, b.relation if isinstance(b, OpenRelation) else b
         mine, theirs = a.own, [c for c in right.columns if c not in outer]
         common = [c for c in mine if c in theirs]
+        deps = a.deps | (b.deps if isinstance(b, OpenRelation) else frozenset()) if a.deps is not None and (not isinstance(b, OpenRelation) or b.deps is not None) else None
+        if a.image and isinstance(b, Relation) and name in ("rdivide", "rsemijoin"):  # what is there of the tuple is what both have
+            deps = frozenset(a.image[c] for c in common)
         shape = {"join": [*mine, *[c for c in theirs if c not in mine]], "compose": [c for c in [*mine, *theirs] if c not in common], "divide": [c for c in mine if c not in common], "rdivide": [c for c in theirs if c not in common], "rsemijoin": theirs}
         if name in SETS or name == "semijoin":
             out = getattr(left, name)(right)
@@ -813,11 +908,13 @@ class Interp:
         else:
             out = right.ajoin(left)
             out = out.project(*outer, *(c for c in theirs if c not in common)) if name == "rajoinr" else out
-        return OpenRelation(out, outer)
+        return OpenRelation(out, outer, deps)
 
     def count(self, v: object, scope: Scope) -> object:
         if isinstance(v, Relation):
             return Decimal(v.count())
+        if isinstance(v, Held):
+            v = self.rows_of(v, scope)
         if isinstance(v, Open):
             return Open(Call(lambda c: F.size(c).cast("long"), v.expr), "number")
         if isinstance(v, OpenRelation):
@@ -828,7 +925,7 @@ class Interp:
     def take_each(self, v: OpenRelation, name: str, n: int) -> OpenRelation:
         order = [_c(c).desc() if d else _c(c).asc() for c, d, _ in v.relation.sorting if c not in v.outer] + [_c(c) for c in sorted(v.own)]
         ranked = v.relation.df.withColumn("_n", F.row_number().over(W.partitionBy(*map(_c, v.outer)).orderBy(*order)))
-        return OpenRelation(Relation(ranked.where(F.col("_n") <= n if name == "take" else F.col("_n") > n).drop("_n"), v.relation.keys), v.outer)
+        return OpenRelation(Relation(ranked.where(F.col("_n") <= n if name == "take" else F.col("_n") > n).drop("_n"), v.relation.keys), v.outer, v.deps)
 
     def convert(self, name: str, v: object) -> object:
         if name == "rel":
@@ -894,6 +991,7 @@ class Interp:
 
         _, name, where, action = node
         b = self.variable(name)
+        b.value = gathered(b.value)
         row = self.inside(b.value, scope)
         test = self.expr(self.value(where, row), row) if where else F.lit(True)
         if action is None:

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import datetime
 import decimal
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.expr import Expr
+from relata.expr import Expr, quoted
 from relata.relation import Relation
 from relata.types import ZERO_TIME, RelationError, kind
 
@@ -58,16 +59,90 @@ class Open:
 
 @dataclass(eq=False)
 class OpenRelation:
-    """A relation for each tuple of an outer one: the outer attributes are there under other names."""
+    """A relation for each tuple of an outer one: the outer attributes are there under other names.
+
+    deps: those of the outer attributes that determine it, None for all. image: for {{*}}, the outer names of its own attributes.
+    """
 
     relation: Relation
     outer: list[str] = field(default_factory=list)
+    deps: frozenset[str] | None = None
+    image: dict[str, str] | None = None
 
     @property
     def own(self) -> list[str]:
         return [c for c in self.relation.columns if c not in self.outer]
 
 
+@dataclass
+class Part:
+    """A relation-valued attribute as tuples of its own: by are attributes that determine it, under the names of key()."""
+
+    df: DataFrame
+    by: list[str]
+
+    @staticmethod
+    def key(name: str) -> str:
+        return f"_k_{name}"
+
+    @property
+    def own(self) -> list[str]:
+        return [c for c in self.df.columns if c not in set(map(self.key, self.by))]
+
+    def renamed(self, new: dict[str, str]) -> Part:
+        keys = [F.col(quoted(self.key(n))).alias(self.key(new[n])) for n in self.by]
+        return Part(self.df.select(*keys, *(F.col(quoted(c)) for c in self.own)), [new[n] for n in self.by])
+
+
+class Nesting(Relation):
+    """A relation with relation-valued attributes that are not gathered: a group of any size stays many rows.
+
+    base: its other attributes, a set; parts: the relation-valued ones; names: all of them in order.
+    Arrays are made only for an operator that asks for df.
+    """
+
+    def __init__(self, base: Relation, parts: dict[str, Part], names: list[str]):
+        super().__init__(None, base.keys)
+        self.base, self.parts, self.names = base, parts, names
+
+    @property
+    def columns(self) -> list[str]:
+        return self.names
+
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            df = self.base.df
+            for name, part in self.parts.items():
+                groups = part.df.groupBy(*(F.col(quoted(part.key(n))) for n in part.by)).agg(F.array_sort(F.collect_set(F.struct(*(F.col(quoted(c)) for c in part.own)))).alias(name))
+                empty = F.array().cast(groups.schema[name].dataType)
+                on = [F.col(quoted(n)).eqNullSafe(F.col(quoted(part.key(n)))) for n in part.by]
+                df = df.join(groups, on, "left").select(*(F.col(quoted(c)) for c in df.columns), F.coalesce(F.col(quoted(name)), empty).alias(name))
+            self._df = df.select(*(F.col(quoted(n)) for n in self.names))
+        return self._df
+
+    def where(self, condition: object) -> Relation:
+        return gathered(self).where(condition)
+
+
+def gathered(v: object) -> object:
+    """A Nesting as a plain relation, anything else as it is."""
+    return Relation(v.df, v.keys) if isinstance(v, Nesting) else v
+
+
+class Held(Open):
+    """A relation-valued attribute of a Nesting: for each tuple, without an array until its expression is asked for."""
+
+    def __init__(self, relation: OpenRelation, tag: object, gather: Callable[[OpenRelation], Expr]):
+        self.relation, self.type, self.gather, self._expr = relation, tag, gather, None
+
+    @property
+    def expr(self) -> Expr:
+        if self._expr is None:
+            self._expr = self.gather(self.relation)
+        return self._expr
+
+
 def type_of(v: object) -> object:
     """number, text, bool, time, date, binary, void, code, ("user", name), ("tup", heading), ("rel", heading)."""
     if isinstance(v, Open):
@@ -248,4 +323,4 @@ def pretty(v: object, clip: int = 60) -> str:
     return "\n".join(_table(v.df.schema, list(v.ordered().toLocalIterator()), clip))
 
 
-__all__ = ["Code", "Open", "OpenRelation", "RelationError", "Tup", "default_of", "literal", "pretty", "same", "spark_tag", "spark_type", "text", "type_of", "value_of"]
+__all__ = ["Code", "Held", "Nesting", "Open", "OpenRelation", "Part", "RelationError", "Tup", "default_of", "gathered", "literal", "pretty", "same", "spark_tag", "spark_type", "text", "type_of", "value_of"]

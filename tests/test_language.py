@@ -400,3 +400,39 @@ def test_open_functions_agree_with_closed_ones(session):
             closed = re.sub(rf"(?<![\w'.]){name}(?![\w'(])", value, closed)
         a, b = session.evaluate(f"V .{{ ({e}) }}"), session.evaluate(closed)
         assert a == b, (e, a, b)
+
+
+HELD = r'''
+held .{ member, n := made.count, most := made .{ (fold(max, days)) } } = {{member:'', n:0, most:0}('k1', 3, 7), ('k2', 1, 7), ('k3', 2, 3), ('k4', 1, 10), ('k5', 0, 0)}
+====
+held .where(made.count > 1) .{ m := member, trips := made .where(days > 3) } .{ m, n := trips.count } = {{m:'', n:0}('k1', 2), ('k3', 0)}
+====
+held .{ * made := made .order(-days) .take(1) } .{ member, most := made .{ (days) } } .where(member = 'k1') .{ (most) } = 7
+====
+held .{ port, n := fold(+, made.count) } = {{port:'', n:0}('Vigo', 4), ('Bergen', 3), ('Turku', 0)}
+====
+(CREW .{ k := member } .{ k, own := TRIP .where(member = k) .{ boat } } .{ k, n := own.count } .where(n = 0)) = {{ k := 'k5', n := 0 }}
+====
+held .{ member, both := (made union {{ boat := 'b9', days := 1 }}) } .{ member, n := both.count } .where(n = 1) = {{ member := 'k5', n := 1 }}
+'''.strip().split("\n====\n")
+
+
+def test_relations_in_attributes_stay_rows(session):
+    """Groups of any size are counted and folded as rows: no array of a group is made."""
+    session.run_script("held := CREW .{ member, port, made := ({{*}} rdivide TRIP) }")
+    assert [case for case in HELD if session.evaluate(case) is not True] == []
+    for case in HELD[:5:3]:
+        plan = session.evaluate(case.split(" = ")[0]).df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect" not in plan, plan
+
+
+def test_relations_in_attributes_that_the_rest_does_not_determine(session):
+    """Tuples that differ in such an attribute alone stay apart; two of one grade made different trips."""
+    session.run_script("""
+        var crewed := CREW .{ member, port, made := ({{*}} rdivide TRIP) }
+        var graded := CREW .{ grade, made := ({{*}} rdivide TRIP) }""")
+    assert session.evaluate("graded .where(grade = 3) .{ grade, n := made.count } = {{grade:0, n:0}(3, 3), (3, 2)}")
+    assert session.evaluate("graded .where(grade = 3) .{ n := made.count, most := made .{ (fold(max, days)) } } = {{n:0, most:0}(3, 7), (2, 3)}")
+    assert session.evaluate("crewed .{ port, made } .where(port = 'Vigo') .{ n := made.count } = {{ n := 3 }, { n := 1 }}")
+    assert session.evaluate("crewed .{ member, n := made .where(days > 3 and made.count > 1) .count } .where(n > 0) = {{ member := 'k1', n := 2 }}")
+    assert session.evaluate("crewed .{ made } .count = 5 and crewed .{ member, p := {*} } .{ n := p.made.count } .count = 4")

@@ -39,3 +39,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [Or(" in plan
     plan = queries.QUERIES["fold_count"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in plan
+
+
+def test_image_of_a_group_stays_rows(spark):
+    """A region's customers are no array, which would be carried on each of its rows."""
+    plan = queries.QUERIES["image_in_program"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect" not in plan and "inline" not in plan
