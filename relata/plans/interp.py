@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +75,10 @@ class RowScope(Scope):
         """The frame, less what it does not gather: the rest identifies its tuples."""
         return self.frame.base if isinstance(self.frame, Nesting) else self.frame
 
+    @property
+    def whole(self) -> DataFrame:
+        return self.frame.whole if isinstance(self.frame, Nesting) else self.frame.df
+
     @property
     def outers(self) -> list[str]:
         return [self.outer_name(n) for n in self.plain.columns]
@@ -94,8 +98,7 @@ class RowScope(Scope):
 
     def extended(self, whole: bool = False) -> Relation:
         """The frame with what was attached; whole: with arrays of what it does not gather."""
-        frame = self.frame if whole else self.plain
-        df = frame.df
+        frame, df = self.plain, self.whole if whole else self.plain.df
         for other, value, default, name in self.added:
             keys = [n for n in frame.columns if self.outer_name(n) in other.columns]
             side = other.select(*(_c(self.outer_name(n)) for n in keys), _c(value).alias(name), F.lit(True).alias("_met"))
@@ -393,7 +396,7 @@ class Interp:
             row = self.row_scope(scope)
             if row is None:
                 raise RelationError("{{*}} needs a tuple")
-            own = row.frame.df.select(*row.under(), *(_c(n) for n in row.tags))
+            own = row.whole.select(*row.under(), *(_c(n) for n in row.tags))
             return OpenRelation(Relation(own), row.outers, image={n: row.outer_name(n) for n in row.tags})
         values = [self.value(r, scope) for r in rows]
         if any(isinstance(v, Open) for v in values) and (row := self.row_scope(scope)) is not None:
@@ -497,9 +500,7 @@ class Interp:
 
     def on_where(self, node, scope):
         v = self.correlated(self.value(node[1], scope), node[2], scope)
-        v = self.relational(v, scope)
-        if isinstance(v, Nesting) and names_within(node[2]) & v.parts.keys():
-            v = gathered(v)
+        v = self.spread(self.relational(v, scope), [node[2]], scope)
         row = self.inside(v, scope)
         test = self.value(node[2], row)
         if not isinstance(test, Open):
@@ -527,6 +528,43 @@ class Interp:
             return self.relation([v.fields], {n: type_of(x) for n, x in v.fields.items()})
         raise RelationError("a relation is needed")
 
+    def entered(self, node: object, scope: Scope) -> set[str]:
+        """Names whose tuples, if they hold relations, these nodes work on."""
+        if isinstance(node, list):
+            return set().union(*(self.entered(x, scope) for x in node)) if node else set()
+        if not isinstance(node, tuple) or not node:
+            return set()
+        targets = [node[1]] if node[0] in ("select", "where", "order", "while") and len(node) > 2 else []
+        called = {"call": 1, "dot": 2}.get(node[0]) if isinstance(node[0], str) and len(node) > 3 else None
+        if called and isinstance(name := node[called], str) and (name in JOINS | SETS | ALIASES.keys() | {"take", "skip"} or self.user(name, scope)):
+            targets = [*(node[2] or [])] if called == 1 else [node[1], *(node[3] or [])]
+        while any(t[0] == "paren" for t in targets):
+            targets = [t[1] if t[0] == "paren" else t for t in targets]
+        return {t[1] for t in targets if t[0] == "name"} | self.entered(list(node), scope)
+
+    def spread(self, v: object, nodes: list, scope: Scope) -> object:
+        """A relation for expressions over its tuples. Arrays that they open become rows, or each of these would carry its array."""
+        if not isinstance(v, Relation):
+            return v
+        arrays = list(v.parts) if isinstance(v, Nesting) else [f.name for f in v.df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) and f.dataType.elementType.names]
+        if names_within(nodes) & set(arrays):
+            return gathered(v)
+        if isinstance(v, Nesting) or v.sorting or not self.entered(nodes, scope) & set(arrays):
+            return v
+        from relata.sources.store import settle
+
+        plain, df = [n for n in v.columns if n not in arrays], v.df
+        keys = [k for k in v.keys if k and k <= set(plain)]
+        if not keys:  # the arrays tell tuples apart: number them, once
+            number = "_row"
+            while number in v.columns:
+                number += "_"
+            df, keys = settle(df.withColumn(number, F.monotonically_increasing_id())), [frozenset([number])]
+            plain = [*plain, number]
+        by = sorted(min(keys, key=len))
+        parts = {n: Part(Relation.of(df.select(*(_c(k).alias(Part.key(k)) for k in by), F.inline(_c(n)))).df, by) for n in arrays}
+        return Nesting(Relation(df.select(*map(_c, plain)), keys), parts, v.columns)
+
     def rows_of(self, v: Held, scope: Scope) -> OpenRelation:
         if not set(v.relation.outer) <= set(self.row_scope(scope).outers):
             raise RelationError("a relation-valued attribute is used among other tuples than its own")
@@ -573,8 +611,8 @@ class Interp:
         if isinstance(v, Open) and isinstance(v.type, tuple) and v.type[0] == "tup":
             return self.select_open_tuple(v, star, elements, scope)
         v = self.correlated(self.relational(v, scope), [e for _, e in elements], scope)
-        if isinstance(v, Nesting) and (names_within([e for _, e in elements]) & v.parts.keys() or any(n is None and not (e[0] == "name" and e[1] in v.columns) for n, e in elements)):
-            v = gathered(v)
+        lifts = isinstance(v, Relation) and any(n is None and not (e[0] == "name" and e[1] in v.columns) for n, e in elements)
+        v = gathered(v) if lifts else self.spread(v, [e for _, e in elements], scope)
         outer = v.outer if isinstance(v, OpenRelation) else []
         rel = v.relation if isinstance(v, OpenRelation) else v
         own = [c for c in rel.columns if c not in outer]
@@ -600,7 +638,7 @@ class Interp:
         new |= {n: self.expr(value, row) for n, value in open_.items()}
         source = row.extended(whole=True) if row.added else rel
         if row.added and star:
-            keep = [*keep, *(a[3] for a in row.added)]
+            keep = [*keep, *(n for n in row.plain.columns if n not in rel.columns), *(a[3] for a in row.added)]
         if star:
             out = source.transform([k for k in keep if k not in outer], True, new)
         else:
@@ -625,7 +663,7 @@ class Interp:
             return None
         names = [n for n in keep if n not in parts]
         if star:  # those named go
-            names += [n for n in row.plain.columns if n in made] + [a[3] for a in row.added]
+            names += [n for n in row.plain.columns if n in made or n not in rel.columns] + [a[3] for a in row.added]
         base = (row.extended() if row.added else row.plain).transform(names, star, rest)
         if not held and not made:
             return base

@@ -97,13 +97,13 @@ class Part:
 class Nesting(Relation):
     """A relation with relation-valued attributes that are not gathered: a group of any size stays many rows.
 
-    base: its other attributes, a set; parts: the relation-valued ones; names: all of them in order.
+    base: its other attributes, a set, and maybe a number of the tuple; parts: the relation-valued ones; names: all of them in order.
     Arrays are made only for an operator that asks for df.
     """
 
     def __init__(self, base: Relation, parts: dict[str, Part], names: list[str]):
-        super().__init__(None, base.keys)
-        self.base, self.parts, self.names = base, parts, names
+        self.base, self.parts, self.names, self._whole = base, parts, names, None
+        super().__init__(None, [k for k in base.keys if k <= set(names)])
 
     @property
     def columns(self) -> list[str]:
@@ -112,14 +112,21 @@ class Nesting(Relation):
     @property
     def df(self) -> DataFrame:
         if self._df is None:
+            self._df = self.whole.select(*(F.col(quoted(n)) for n in self.names))
+        return self._df
+
+    @property
+    def whole(self) -> DataFrame:
+        """All of base, beside the relation-valued attributes as arrays."""
+        if self._whole is None:
             df = self.base.df
             for name, part in self.parts.items():
                 groups = part.df.groupBy(*(F.col(quoted(part.key(n))) for n in part.by)).agg(F.array_sort(F.collect_set(F.struct(*(F.col(quoted(c)) for c in part.own)))).alias(name))
                 empty = F.array().cast(groups.schema[name].dataType)
                 on = [F.col(quoted(n)).eqNullSafe(F.col(quoted(part.key(n)))) for n in part.by]
                 df = df.join(groups, on, "left").select(*(F.col(quoted(c)) for c in df.columns), F.coalesce(F.col(quoted(name)), empty).alias(name))
-            self._df = df.select(*(F.col(quoted(n)) for n in self.names))
-        return self._df
+            self._whole = df.select(*(F.col(quoted(n)) for n in [*self.names, *(n for n in df.columns if n not in self.names)]))
+        return self._whole
 
     def where(self, condition: object) -> Relation:
         return gathered(self).where(condition)

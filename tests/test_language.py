@@ -436,3 +436,8 @@ def test_relations_in_attributes_that_the_rest_does_not_determine(session):
     assert session.evaluate("crewed .{ port, made } .where(port = 'Vigo') .{ n := made.count } = {{ n := 3 }, { n := 1 }}")
     assert session.evaluate("crewed .{ member, n := made .where(days > 3 and made.count > 1) .count } .where(n > 0) = {{ member := 'k1', n := 2 }}")
     assert session.evaluate("crewed .{ made } .count = 5 and crewed .{ member, p := {*} } .{ n := p.made.count } .count = 4")
+    made = session.evaluate("graded .{ grade, n := made.count, most := made .{ (fold(max, days)) } }").df
+    assert "collect" not in made._jdf.queryExecution().optimizedPlan().toString()  # read back as rows that carry a number, not the array
+    assert session.evaluate("graded .{ * most := made .{ (fold(max, days)) } } .where(grade = 3) .{ n := made.count, most } = {{n:0, most:0}(3, 7), (2, 3)}")
+    assert session.evaluate("graded .{ * made := made .where(days > 3) } .where(grade = 3) .{ n := made.count } = {{ n := 2 }, { n := 0 }}")
+    assert session.evaluate("graded .where({{*}} .count = 1 and made .where(days > 3) .count > 1) .{ grade } = {{ grade := 3 }}")
