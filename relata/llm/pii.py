@@ -43,6 +43,8 @@ LONGEST = 320
 NOTHING = np.array([0.0] + [-1e4] * len(KINDS), dtype=np.float32)
 PARAMETERS = ("x", "u", "out", "bias", "move")
 MARGIN = (WINDOW - STRIDE) // 2
+#: The unit of the search: a stride is four cells, a margin half of one.
+CELL = 2 * MARGIN
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 FORMAT = [("doc_id", None), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]
 
@@ -216,45 +218,56 @@ class Tagger:
         return [self.x, self.u, self.out, self.bias, self.move]
 
     def emissions(self, c: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(T, B, K) scores of windows c (B, T), of which so many characters count; none is sure beyond them."""
+        """(T, B, K) scores of windows c (B, T), of which so many characters count; none is sure beyond them.
+
+        Each gate of both directions lies in one piece (4, 2, B, H), so that the arithmetic runs over long
+        rows; the hidden state is kept at twice its value, which u and out make good.
+        """
         b, t = c.shape
         shortest = int(lengths.min())
         n = self.h
-        c = np.ascontiguousarray(c.T)
-        h, s = np.zeros((2, b, n), dtype=np.float32), np.zeros((2, b, n), dtype=np.float32)
-        z, w = np.empty((2, b, 4 * n), dtype=np.float32), np.empty((2, b, 4 * n), dtype=np.float32)
-        e = np.empty((2, t, b, self.K), dtype=np.float32)
+        codes = np.empty((t, 2, b), dtype=np.intp)
+        codes[:, 0] = c.T
+        np.add(codes[::-1, 0], CLASSES, out=codes[:, 1])
+        x = np.ascontiguousarray(self.x.reshape(2, CLASSES, 4, n).transpose(2, 0, 1, 3)).reshape(4, 2 * CLASSES, n)
+        u = np.ascontiguousarray(self.u.reshape(2, n, 4, n).transpose(2, 0, 1, 3)) * np.float32(0.5)
+        out = self.out * np.float32(0.5)
+        bias = np.tile(self.bias, (b, 1))
+        h, s, g = (np.zeros((2, b, n), dtype=np.float32) for _ in range(3))
+        z, w = np.empty((4, 2, b, n), dtype=np.float32), np.empty((4, 2, b, n), dtype=np.float32)
+        e, more = np.empty((t, b, self.K), dtype=np.float32), np.empty((b, self.K), dtype=np.float32)
         for i in range(t):
-            np.take(self.x[0], c[i], axis=0, out=w[0], mode="clip")
-            np.take(self.x[1], c[t - 1 - i], axis=0, out=w[1], mode="clip")
+            for gate in range(4):
+                x[gate].take(codes[i], axis=0, out=w[gate], mode="clip")
             if t - i >= shortest:  # the way back starts at the window's last character
                 beyond = lengths <= t - i
                 h[1, beyond] = 0
                 s[1, beyond] = 0
-            np.matmul(h, self.u, out=z)
+            np.matmul(h, u, out=z)
             z += w
             np.tanh(z, out=z)
-            z[:, :, : 3 * n] += 1
-            s *= z[:, :, n : 2 * n]
-            s += z[:, :, :n] * z[:, :, 3 * n :]
+            z[:3] += 1
+            s *= z[1]
+            np.multiply(z[0], z[3], out=g)
+            s += g
             s *= 0.5
             np.tanh(s, out=h)
-            h *= z[:, :, 2 * n : 3 * n]
-            h *= 0.5
-            np.matmul(h[0], self.out[0], out=e[0, i])
-            np.matmul(h[1], self.out[1], out=e[1, t - 1 - i])
-        e[0] += e[1]
-        e[0] += self.bias
+            h *= z[2]
+            for way, at, is_new in ((0, i, 2 * i < t), (1, t - 1 - i, 2 * i < t - 1)):
+                np.matmul(h[way], out[way], out=e[at] if is_new else more)
+                if not is_new:
+                    e[at] += more
+                    e[at] += bias
         beyond = np.arange(shortest, t)[:, None] >= lengths
-        e[0, shortest:][beyond] = NOTHING
-        return e[0]
+        e[shortest:][beyond] = NOTHING
+        return e
 
     def hot(self, e: np.ndarray) -> np.ndarray:
         """Which cells (T, B, K) may pay for a run of tags, by an upper bound.
 
         A run of other tags gains at most its best emissions over none, and for each step the best
-        transition over none's; it pays for entering and leaving in the cells where it does. Best
-        parts of runs come from prefix sums. A run that gains has a cell where its part does, so it
+        transition over none's; it pays for entering and leaving in the cells where it does. The sums of
+        best parts of runs are carried along the cell. A run that gains has a cell where its part does, so it
         touches a hot cell. A cell that a run may cover from border to border is hot too; in any other,
         the best path has a none, as two more borders would cost less. So the best path is found in hot
         cells and their neighbours, with none around them.
@@ -265,14 +278,18 @@ class Tagger:
         best = e[:, :, 1]
         for k in range(2, self.K):
             best = np.maximum(best, e[:, :, k])
-        total = best - e[:, :, 0]
-        total += np.float32(stay)
-        np.cumsum(total, axis=0, out=total)
-        least = np.minimum(np.minimum.accumulate(total, axis=0), 0)
-        inside = np.maximum((total[1:] - least[:-1]).max(axis=0), total[0]) + enter + leave - stay
-        first, last = total.max(axis=0) + leave, total[-1] - least[-2] + enter - stay
-        whole = total[-1] + np.float32(stay - min(0.0, float(into.min()) + float(out.min())))
-        return np.maximum.reduce([inside, first, last, whole]) >= -1e-2
+        gain = best - e[:, :, 0]
+        gain += np.float32(stay)
+        ending, total = gain[0].copy(), gain[0].copy()  # the best part that ends here; all up to here
+        inside, first = ending.copy(), total.copy()
+        for now in gain[1:]:
+            np.maximum(ending, 0, out=ending)
+            ending += now
+            np.maximum(inside, ending, out=inside)
+            total += now
+            np.maximum(first, total, out=first)
+        whole = total + np.float32(stay - min(0.0, float(into.min()) + float(out.min())))
+        return np.maximum.reduce([inside + (enter + leave - stay), first + leave, ending + (enter - stay), whole]) >= -1e-2
 
     def paths(self, e: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
         """Best scores of blocks (T, B, K) from the first tags before them to each tag at the end, (B, before, K), and their back pointers (T, before, K, B)."""
@@ -280,13 +297,17 @@ class Tagger:
         e = np.ascontiguousarray(e.transpose(0, 2, 1))
         back = np.zeros((t, before, k, b), dtype=np.int8)
         best = self.move[:before, :, None] + e[0][None]
+        top, path = np.empty_like(best), np.empty_like(best)
+        better, which = np.empty(best.shape, dtype=bool), np.empty(best.shape, dtype=np.int8)
         for i in range(1, t):
-            top = best[:, :1] + self.move[0][None, :, None]
+            np.add(best[:, :1], self.move[0][None, :, None], out=top)
             for j in range(1, k):
-                path = best[:, j : j + 1] + self.move[j][None, :, None]
-                back[i][path > top] = j
+                np.add(best[:, j : j + 1], self.move[j][None, :, None], out=path)
+                np.greater(path, top, out=better)
+                np.multiply(better.view(np.int8), np.int8(j), out=which)
+                np.maximum(back[i], which, out=back[i])  # the last j that was better
                 np.maximum(top, path, out=top)
-            best = top + e[i][None]
+            np.add(top, e[i][None], out=best)
         return best.transpose(2, 0, 1), back
 
     def decode(self, blocks: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -297,17 +318,23 @@ class Tagger:
         found = [self.paths(blocks[:, rows], m) if len(rows) else None for rows, m in groups]
         place = np.where(follows, np.cumsum(follows), np.cumsum(~follows)) - 1
         came, best = np.zeros((n, k), dtype=np.int8), np.zeros((n, k), dtype=np.float32)
-        for i in range(n):
-            if follows[i]:
-                path = best[i - 1][:, None] + found[1][0][place[i]]
-                came[i], best[i] = path.argmax(axis=0), path.max(axis=0)
-            else:
-                best[i] = found[0][0][place[i], 0]
+        # the first block of every run, then the second of those that have one, and so on
+        starts = np.flatnonzero(~follows)
+        sizes = np.diff(starts, append=n)
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        having = np.searchsorted(-sizes, -np.arange(sizes[0]))
+        best[starts] = found[0][0][place[starts], 0]
+        for i in range(1, len(having)):
+            at = starts[: having[i]] + i
+            path = best[at - 1][:, :, None] + found[1][0][place[at]]
+            came[at], best[at] = path.argmax(axis=1), path.max(axis=1)
         before, own = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        for i in range(n - 1, -1, -1):
-            goes_on = i + 1 < n and follows[i + 1]
-            own[i] = before[i + 1] if goes_on else (best[i] + self.move[:, 0]).argmax()
-            before[i] = came[i, own[i]] if follows[i] else 0
+        ends = starts + sizes - 1
+        own[ends] = (best[ends] + self.move[:, 0]).argmax(axis=1)
+        for i in range(len(having) - 1, 0, -1):
+            at = starts[: having[i]] + i
+            own[at - 1] = before[at] = came[at, own[at]]
         tags = np.zeros((t, n), dtype=np.int8)
         for (rows, _), got in zip(groups, found, strict=True):
             if got is None:
@@ -321,50 +348,58 @@ class Tagger:
     def tag(self, texts: list[str], block: int = 1024) -> Iterator[np.ndarray]:
         """Tags of each text's characters.
 
-        A text is cut into cells: MARGIN characters that only its first window centres, STRIDE characters for
-        each window, and the last window's end. Hot cells and their neighbours are kept, filled up to STRIDE.
+        A text is cut into cells: the MARGIN characters that only its first window centres, CELL characters
+        each of every window's STRIDE, and the last window's end. Hot cells and their neighbours are kept,
+        filled up to CELL.
         """
         codes = [classes_of(t) for t in texts]
         counts = [max(1, -(-(len(c) - WINDOW) // STRIDE) + 1) if len(c) else 0 for c in codes]
         windows = ((i, j, n, c[STRIDE * j : STRIDE * j + WINDOW]) for i, (c, n) in enumerate(zip(codes, counts, strict=True)) for j in range(n))
-        cells: list[tuple[int, int, int, np.ndarray]] = []  # text, start, offset in the cell, emissions
-        behind, was_hot, kept = None, False, False  # the cell before, whether it is hot, and whether it is in cells
-
-        def keep(cell: tuple[int, int, int, np.ndarray]) -> None:
-            cells.append((*cell[:3], cell[3].copy()))
-
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # texts, starts, emissions (cells, CELL, K)
+        behind = (-1, 0, NOTHING, False, False)  # the cell before: text, start, emissions, whether it is hot, whether it is kept
         while part := list(islice(windows, block)):
             packed = np.full((len(part), WINDOW), 32, dtype=np.uint8)
             for r, (_, _, _, c) in enumerate(part):
                 packed[r, : len(c)] = c
             e = self.emissions(packed, np.array([len(x[3]) for x in part]))
-            bounds = ((0, MARGIN), (MARGIN, MARGIN + STRIDE), (MARGIN + STRIDE, WINDOW))
-            hot = [self.hot(e[low:high]).tolist() for low, high in bounds]
-            for r, (i, j, n, _) in enumerate(part):
-                for which in range(0 if j == 0 else 1, 3 if j == n - 1 else 2):
-                    low, high = bounds[which]
-                    cell, is_hot = (i, STRIDE * j + low, 0 if low else STRIDE - MARGIN, e[low:high, r]), hot[which][r]
-                    beside = behind is not None and behind[0] == i
-                    if is_hot and beside and not kept:
-                        keep(behind)
-                    kept = is_hot or (beside and was_hot)
-                    if kept:
-                        keep(cell)
-                    behind, was_hot = cell, is_hot
+            marks = np.array([x[:3] for x in part])
+            hot = np.stack([self.hot(e[max(0, low) : low + CELL]) for low in range(-MARGIN, WINDOW, CELL)], axis=1)
+            there = np.ones(hot.shape, dtype=bool)
+            there[:, 0], there[:, -1] = marks[:, 1] == 0, marks[:, 1] == marks[:, 2] - 1
+            row, slot = np.nonzero(there)
+            text, start, hot = marks[row, 0], STRIDE * marks[row, 1] + CELL * slot - MARGIN, hot[there]
+            beside = text[1:] == text[:-1]
+            keep = hot.copy()
+            keep[1:] |= beside & hot[:-1]
+            keep[:-1] |= beside & hot[1:]
+            if behind[0] == text[0]:
+                keep[0] |= behind[3]
+                if hot[0] and not behind[4]:
+                    kept.append((text[:1], np.array([behind[1]]), behind[2][None]))
+            chosen = np.flatnonzero(keep)
+            cells = np.empty((len(chosen) + 1, CELL, self.K), dtype=np.float32)  # the last cell, too, for the next block
+            cells[:] = NOTHING
+            for own, at in enumerate([*chosen.tolist(), len(keep) - 1]):
+                low = CELL * int(slot[at]) - MARGIN
+                skip = max(0, -low)
+                values = e[low + skip : low + CELL, row[at]]
+                cells[own, skip : skip + len(values)] = values
+            kept.append((text[chosen], start[chosen], cells[:-1]))
+            behind = (int(text[-1]), int(start[-1]), cells[-1].copy(), bool(hot[-1]), bool(keep[-1]))
         tags = [np.zeros(len(c), dtype=np.int8) for c in codes]
-        if cells:
-            full = np.broadcast_to(NOTHING, (STRIDE, len(cells), self.K)).copy()
-            for r, (_, _, offset, e) in enumerate(cells):
-                full[offset : offset + len(e), r] = e
-            follows = np.array([r > 0 and cells[r - 1][0] == i and cells[r - 1][1] + len(cells[r - 1][3]) == at for r, (i, at, _, _) in enumerate(cells)])
+        if any(len(x[0]) for x in kept):
+            text, start = (np.concatenate([x[i] for x in kept]) for i in range(2))
+            full = np.concatenate([x[2] for x in kept]).transpose(1, 0, 2)
+            follows = np.concatenate(([False], (text[1:] == text[:-1]) & (start[1:] == start[:-1] + CELL)))
             # runs of cells are decoded together, some at a time
-            starts = [*np.flatnonzero(~follows).tolist(), len(cells)]
+            starts = [*np.flatnonzero(~follows).tolist(), len(text)]
             a = 0
             for b, c in zip(starts[1:], [*starts[2:], None], strict=True):
-                if c is None or c - a > block:
-                    for (i, at, offset, e), own in zip(cells[a:b], self.decode(full[:, a:b], follows[a:b]).T, strict=True):
-                        n = max(0, min(len(e), len(tags[i]) - at))
-                        tags[i][at : at + n] = own[offset : offset + n]
+                if c is None or c - a > 4 * block:
+                    for i, at, own in zip(text[a:b].tolist(), start[a:b].tolist(), self.decode(full[:, a:b], follows[a:b]).T, strict=True):
+                        low, high = max(0, at), min(len(tags[i]), at + CELL)
+                        if low < high:
+                            tags[i][low:high] = own[low - at : high - at]
                     a = b
         yield from tags
 
